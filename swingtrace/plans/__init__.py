@@ -1 +1,6 @@
 """Registered queries, each beside the SQL that checks it."""
+
+from swingtrace.plans import basics, detection  # noqa: F401
+from swingtrace.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]

@@ -127,16 +127,24 @@ def backfill_days(
     return hourly, daily
 
 
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def append_jsonl(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+    rows.write.mode("append").option("timestampFormat", MICROS).json(path)
+
+
+def jsonl(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
+    """All whole lines; a half-written one is skipped."""
+    reader = spark.read.schema(columns).option("mode", "DROPMALFORMED")
+    return reader.option("timestampFormat", MICROS).json(path).filter("at IS NOT NULL")
 
 
 def read_jsonl(
     spark: SparkSession, path: str, columns: T.StructType, since: str | None = None, limit: int = 25
 ) -> DataFrame:
-    """Newest rows first; a half-written line is skipped."""
-    reader = spark.read.schema(columns).option("mode", "DROPMALFORMED")
-    rows = reader.json(path).filter("at IS NOT NULL")
+    """The newest rows after ``since``."""
+    rows = jsonl(spark, path, columns)
     if since is not None:
         rows = rows.filter(F.col("at") > F.lit(since).cast("timestamp"))
     others = [c for c in rows.columns if c != "at"]
