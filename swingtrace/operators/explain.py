@@ -67,44 +67,49 @@ def decompose_rows(daily: DataFrame, q: Question, keys: Sequence[str] = ()) -> D
     largest effect is the driver. Four rows per key.
     """
     base, inc = _factors("base"), _factors("inc")
+    swaps = range(len(FACTORS) + 1)
+    one = identity_sides(daily, q, keys).select(
+        *keys,
+        "base_revenue",
+        "inc_revenue",
+        *(base[f].alias(f"b_{f}") for f in FACTORS),
+        *(inc[f].alias(f"i_{f}") for f in FACTORS),
+    )
 
     def revenue(upto: int) -> Column:
-        values = [inc[f] if i < upto else base[f] for i, f in enumerate(FACTORS)]
-        return values[0] * values[1] * values[2] * (values[3] / F.lit(1000.0))
+        a, b, c, d = (F.col(f"{'i' if k < upto else 'b'}_{f}") for k, f in enumerate(FACTORS))
+        return a * b * c * (d / F.lit(1000.0))
 
-    sides = identity_sides(daily, q, keys)
+    one = one.withColumns({f"rev_{k}": revenue(k) for k in swaps})
+    one = one.withColumns(
+        {f"effect_{k}": F.col(f"rev_{k + 1}") - F.col(f"rev_{k}") for k in swaps[:-1]}
+    )
+    effects = [F.col(f"effect_{k}") for k in swaps[:-1]]
+    largest = F.greatest(*(F.abs(e) for e in effects))
+    driver = F.coalesce(*(F.when(F.abs(e) == largest, f) for e, f in zip(effects, FACTORS)))
+    delta = F.col("inc_revenue") - F.col("base_revenue")
+    explained = effects[0] + effects[1] + effects[2] + effects[3]
+    one = one.withColumns(
+        {"driver": driver, "revenue_delta": delta, "residual": delta - explained}
+    )
     rows = F.array(
         *(
             F.struct(
-                F.lit(i + 1).alias("step"),
+                F.lit(k + 1).alias("step"),
                 F.lit(f).alias("factor"),
-                base[f].alias("base_value"),
-                inc[f].alias("inc_value"),
-                stats.pct_or_zero(inc[f] - base[f], base[f]).alias("delta_pct"),
-                (revenue(i + 1) - revenue(i)).alias("revenue_effect"),
+                F.col(f"b_{f}").alias("base_value"),
+                F.col(f"i_{f}").alias("inc_value"),
+                stats.pct_or_zero(F.col(f"i_{f}") - F.col(f"b_{f}"), F.col(f"b_{f}")).alias(
+                    "delta_pct"
+                ),
+                effects[k].alias("revenue_effect"),
+                (F.col("driver") == f).alias("is_driver"),
             )
-            for i, f in enumerate(FACTORS)
+            for k, f in enumerate(FACTORS)
         )
     )
-    one = sides.select(
-        *keys, rows.alias("rows"), F.col("base_revenue"), F.col("inc_revenue")
-    ).withColumn("revenue_delta", F.col("inc_revenue") - F.col("base_revenue"))
-    explained = F.aggregate("rows", F.lit(0.0), lambda a, r: a + r["revenue_effect"])
-    largest = F.array_max(F.transform("rows", lambda r: F.abs(r["revenue_effect"])))
-    driver = F.element_at(
-        F.filter("rows", lambda r: F.abs(r["revenue_effect"]) == F.col("largest")), 1
-    )["factor"]
-    one = one.withColumn("residual", F.col("revenue_delta") - explained)
-    one = one.withColumn("largest", largest).withColumn("driver", driver)
-    return one.select("*", F.explode("rows").alias("r")).select(
-        *keys,
-        "r.*",
-        (F.col("r.factor") == F.col("driver")).alias("is_driver"),
-        "base_revenue",
-        "inc_revenue",
-        "revenue_delta",
-        "residual",
-    )
+    totals = ("base_revenue", "inc_revenue", "revenue_delta", "residual")
+    return one.select(*keys, *totals, F.explode(rows).alias("r")).select(*keys, "r.*", *totals)
 
 
 def decompose(source: EventSource, q: Question, mask: Mask) -> DataFrame:
