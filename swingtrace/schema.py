@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+    "tags": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """``name type, ...`` without needing a session, so the schemas exist at import."""
+    pairs = (field.split() for field in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 AD_EVENTS = _struct(
@@ -40,7 +53,7 @@ NOTIFICATIONS = _struct(
 )
 EVIDENCE = _struct(
     "id string, label string, value double, unit string, window_from date, window_to date, "
-    "filters map<string,string>, share_pct double, query_hash string"
+    "filters tags, share_pct double, query_hash string"
 )
 FINDINGS = _struct(
     "channel string, dimension string, value string, metric string, delta_abs double, "

@@ -17,13 +17,14 @@ class WatchRunner:
     """Matches each batch of incidents with the watches and moves their cursors.
 
     Cursors are a table per batch number, so a batch that is replayed after a failure starts from
-    the cursors it started from the first time.
+    the cursors it started from the first time. Running again continues where the last run stopped.
     """
 
     def __init__(self, watches: DataFrame, log_path: str):
         self.spark = watches.sparkSession
         self.log_path = log_path
         self.state = new_path(self.spark, "watch-cursors")
+        self.progress = new_path(self.spark, "watch-state")
         watches.write.parquet(f"{self.state}/before=0")
 
     def cursors(self, batch_id: int) -> DataFrame:
@@ -32,23 +33,25 @@ class WatchRunner:
     def __call__(self, incidents: DataFrame, batch_id: int) -> None:
         current = self.cursors(batch_id)
         matched = match_watches(current, incidents)
-        notes = matched.select(F.lit(batch_id).alias("batch"), *FIELDS)
-        notes.write.mode("overwrite").json(f"{self.log_path}/batch={batch_id}")
-        moved = advance(current, matched).select(*current.columns)
+        log = f"{self.log_path}/batch={batch_id}"
+        matched.select(*FIELDS).write.mode("overwrite").json(log)
+        # the written log is read back, so matching runs once per batch
+        told = self.spark.read.schema("watch_id string, day date").json(log)
+        moved = advance(current, told).select(*current.columns)
         moved.write.mode("overwrite").parquet(f"{self.state}/before={batch_id + 1}")
 
     def run(self, stream: DataFrame) -> None:
         query = (
             stream.writeStream.foreachBatch(self)
-            .option("checkpointLocation", new_path(self.spark, "watch-state"))
+            .option("checkpointLocation", self.progress)
             .trigger(availableNow=True)
             .start()
         )
         query.awaitTermination()
 
     def notifications(self) -> DataFrame:
-        fields = "metric string, dimension string, value string, day date, pct double, " \
-                 "sigma double, requests_per_day bigint, watch_id string, user_id string, batch int"
-        return self.spark.read.schema(fields).json(self.log_path)
-
-
+        columns = (
+            "watch_id string, user_id string, metric string, dimension string, value string, "
+            "day date, pct double, sigma double, requests_per_day bigint, batch int"
+        )
+        return self.spark.read.schema(columns).json(self.log_path)
