@@ -117,10 +117,10 @@ def dataset_bounds(spark, sf):
 SELECT min(event_date) AS "start", max(event_date) AS "end",
        count(DISTINCT event_date)::BIGINT AS days, count(*)::BIGINT AS requests,
        sum(is_filled)::BIGINT AS filled, sum(is_impression)::BIGINT AS impressions,
-       sum(is_click)::BIGINT AS clicks, {S.r("sum(revenue)", 2)} AS revenue FROM fact""",
+       sum(is_click)::BIGINT AS clicks, {S.r("sum(revenue)", 4)} AS revenue FROM fact""",
 )
 def dataset_overview(spark, sf):
-    return rounded(Q.overview(folded(spark, sf)), revenue=2)
+    return rounded(Q.overview(folded(spark, sf)), revenue=4)
 
 
 def _notes(spark, sf):
@@ -490,7 +490,7 @@ def agg_quantiles(spark, sf):
 _CELL_SUMMARY = f"""SELECT dim, count(*)::BIGINT AS n_cells, sum(events)::BIGINT AS events,
        sum(fills)::BIGINT AS fills, sum(impressions)::BIGINT AS impressions,
        sum(clicks)::BIGINT AS clicks, sum(events * events)::BIGINT AS squares,
-       {S.r("sum(revenue)", 2)} AS revenue FROM cells GROUP BY 1"""
+       {S.r("sum(revenue)", 4)} AS revenue FROM cells GROUP BY 1"""
 
 
 def cell_summary(cells, *by: str):
@@ -499,7 +499,7 @@ def cell_summary(cells, *by: str):
         F.count(F.lit(1)).alias("n_cells"),
         *(F.sum(c).alias(c) for c in ("events", "fills", "impressions", "clicks")),
         F.sum(F.col("events") * F.col("events")).alias("squares"),
-        rnd(F.sum("revenue"), 2).alias("revenue"),
+        rnd(F.sum("revenue"), 4).alias("revenue"),
     )
 
 
