@@ -5,27 +5,34 @@ The arrays hold one element per day (or per prior week), never one per event.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from swingtrace.config import T
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def median_of(values: Column) -> Column:
     """Interpolated median of an array: the mean of the two middles on an even count."""
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    upper = F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)
-    lower = F.try_element_at(ordered, F.floor((n - 1) / 2).cast("int") + 1)
-    return F.when(n > 0, (lower + upper) / F.lit(2.0))
+
+    def middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        upper = F.get(ordered, F.floor(n / 2).cast("int"))
+        lower = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
+        return F.when(n > 0, (lower + upper) / F.lit(2.0))
+
+    return bind(F.array_sort(values), middle)
 
 
 def upper_median_of(values: Column) -> Column:
     """Element floor(n/2) of the sorted array, without interpolation."""
-    ordered = F.array_sort(values)
-    return F.when(
-        F.size(ordered) > 0, F.try_element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
-    )
+    return bind(F.array_sort(values), lambda xs: F.get(xs, F.floor(F.size(xs) / 2).cast("int")))
 
 
 def mad_of(values: Column, centre: Column) -> Column:
@@ -74,5 +81,7 @@ def pairwise_slope_median(points: Column) -> Column:
 def weekly_growth(points: Column) -> Column:
     """Weekly growth from a log-linear fit; 0 when the history is short or the fit implausible."""
     raw = F.exp(pairwise_slope_median(points) * F.lit(7.0)) - F.lit(1.0)
-    usable = (F.size(points) >= T.growth_min_points) & (F.abs(raw) <= F.lit(T.growth_max_abs))
-    return F.when(usable, raw).otherwise(F.lit(0.0))
+    plausible = bind(
+        raw, lambda g: F.when(F.abs(g) <= F.lit(T.growth_max_abs), g).otherwise(F.lit(0.0))
+    )
+    return F.when(F.size(points) >= T.growth_min_points, plausible).otherwise(F.lit(0.0))

@@ -98,18 +98,22 @@ def trend_baseline(points: Column, growth: Column) -> Column:
     """
 
     def describe(carried: Column, centre: Column) -> Column:
-        observed = stats.mad_of(carried, centre)
         floor = stats.spread_floor(centre)
-        return F.struct(
-            centre.alias("centre"),
-            F.greatest(observed, floor).alias("spread"),
-            (observed < floor).alias("floored"),
+        return stats.bind(
+            stats.mad_of(carried, centre),
+            lambda observed: F.struct(
+                centre.alias("centre"),
+                F.greatest(observed, floor).alias("spread"),
+                (observed < floor).alias("floored"),
+            ),
         )
 
-    # one-element arrays bind the intermediate values, so each is computed once per row
-    carried = F.array(stats.carry_forward(points, growth))
-    bound = F.transform(carried, lambda c: F.struct(c.alias("c"), stats.median_of(c).alias("m")))
-    return F.get(F.transform(bound, lambda b: describe(b["c"], b["m"])), F.lit(0))
+    return stats.bind(
+        stats.carry_forward(points, growth),
+        lambda carried: stats.bind(
+            stats.median_of(carried), lambda centre: describe(carried, centre)
+        ),
+    )
 
 
 def prior_weeks(series: DataFrame, keys: Sequence[str], day: str = "d", value: str = "v"):

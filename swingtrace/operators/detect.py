@@ -15,7 +15,7 @@ from swingtrace.functions.masks import OPEN, Mask
 from swingtrace.functions.metrics import METRICS, resolve_metric, rollup_measures
 from swingtrace.operators import baseline as B
 from swingtrace.operators.query import daily_series, growth_per_metric, stack_series, stacked
-from swingtrace.operators.source import EventSource
+from swingtrace.operators.source import EventSource, RollupSource
 from swingtrace.sources.store import materialize
 
 
@@ -447,7 +447,9 @@ def sweep(
     The daily cells are written once: the platform series is one of their cuts, so the events are
     read a single time whatever the number of metrics.
     """
-    cells = materialize(source.cells(sweep_cuts()), "sweep-cells")
+    cells = source.cells(sweep_cuts())
+    if not isinstance(source, RollupSource):
+        cells = materialize(cells, "sweep-cells")
     return sweep_cells(cells, metrics, window, t)
 
 

@@ -20,36 +20,63 @@ def cut_value(cut: Cut) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def fan_out(events: DataFrame, cuts: Sequence[Cut], buckets: Sequence[str]) -> DataFrame:
-    """Each event once per cut: ``(buckets, cut position, val, row measures)``.
+def fan_out(
+    rows: DataFrame,
+    cuts: Sequence[Cut],
+    buckets: Sequence[str],
+    measures: Sequence[str] = ROW_MEASURES,
+) -> DataFrame:
+    """Each row once per cut: ``(buckets, cut position, val, measures)``.
 
     The position stands for the cut until after the aggregation, so the grouped rows carry one
     integer instead of a repeated name.
     """
-    return events.select(
+    return rows.select(
         *buckets,
-        *ROW_MEASURES,
+        *measures,
         F.posexplode(F.array(*(cut_value(c) for c in cuts))).alias("cut", "val"),
     )
 
 
+def _named(grouped: DataFrame, cuts: Sequence[Cut], buckets: Sequence[str]) -> DataFrame:
+    keys = F.array(*(F.lit(cut_key(c)) for c in cuts))
+    dim = F.element_at(keys, F.col("cut") + 1).alias("dim")
+    return grouped.select(*buckets, dim, "val", *MEASURES)
+
+
 def cells(events: DataFrame, cuts: Sequence[Cut], buckets: Sequence[str]) -> DataFrame:
     """Five sums per (bucket, dim, val), every cut in one pass over the events.
 
     Partial aggregation runs before the only shuffle, so a value holding a third of all rows is one
     row per task by the time it moves, and what moves grows with values x buckets, not with events.
     """
-    keys = F.array(*(F.lit(cut_key(c)) for c in cuts))
-    return (
-        fan_out(events, cuts, buckets)
-        .groupBy(*buckets, "cut", "val")
-        .agg(*event_measures())
-        .select(*buckets, F.element_at(keys, F.col("cut") + 1).alias("dim"), "val", *MEASURES)
+    grouped = fan_out(events, cuts, buckets).groupBy(*buckets, "cut", "val").agg(*event_measures())
+    return _named(grouped, cuts, buckets)
+
+
+def compact_cells(events: DataFrame, cuts: Sequence[Cut], buckets: Sequence[str]) -> DataFrame:
+    """The same cells, reducing events to distinct attribute combinations before the fan-out.
+
+    Worth its extra shuffle when many events share a combination within a bucket, as on very large
+    tables: the 45 cuts over the small dimensions are then fanned out per combination, and only the
+    cuts over single entities are still fanned out per event.
+    """
+    small = [c for c in cuts if set(c) <= set(PAIRABLE)]
+    entity = [c for c in cuts if c not in small]
+    dims = list(dict.fromkeys(d for c in small for d in c))
+    combinations = events.groupBy(*buckets, *dims).agg(*event_measures())
+    fanned = fan_out(combinations, small, buckets, MEASURES)
+    out = _named(
+        fanned.groupBy(*buckets, "cut", "val").agg(*rollup_measures()), small, buckets
     )
+    return out.unionByName(cells(events, entity, buckets)) if entity else out
 
 
-def rollup_hourly(events: DataFrame, cuts: Sequence[Cut] = ROLLUP_CUTS) -> DataFrame:
-    return cells(events, cuts, ("event_date", "event_hour"))
+def rollup_hourly(
+    events: DataFrame, cuts: Sequence[Cut] = ROLLUP_CUTS, compact: bool = False
+) -> DataFrame:
+    build = compact_cells if compact else cells
+    return build(events, cuts, ("event_date", "event_hour"))
 
 
 def rollup_daily(hourly: DataFrame) -> DataFrame:

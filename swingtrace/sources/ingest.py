@@ -89,13 +89,16 @@ def replace_days(
     return read_days(fact.sparkSession, target)
 
 
-def write_rollups(events: DataFrame, hourly_path: str, daily_path: str) -> tuple[DataFrame, DataFrame]:
+def write_rollups(
+    events: DataFrame, hourly_path: str, daily_path: str, compact: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Both rollups of the days in ``events``; the daily one from the stored hourly one.
 
-    Rows are sorted by cut, so a reader of one cut skips the row groups of the others.
+    Rows are sorted by cut, so a reader of one cut skips the row groups of the others. The days
+    rebuilt are read off the stored hourly partitions that were just replaced.
     """
     spark = events.sparkSession
-    hourly = rollup_hourly(events)
+    hourly = rollup_hourly(events, compact=compact)
     _write_days(hourly, hourly_path, ("event_date", "dim", "val", "event_hour"))
     stored = read_hourly(spark, hourly_path)
     touched = [r[0] for r in events.select("event_date").distinct().collect()]

@@ -73,6 +73,17 @@ def test_every_cut_accounts_for_every_event(rolled, folded):
     assert len(totals) == len(ROLLUP_CUTS) and {r["n"] for r in totals} == {n}
 
 
+def test_compacting_first_gives_the_same_cells(folded):
+    rows, by = folded.rows(), ("event_date", "event_hour")
+    ints = ("events", "fills", "impressions", "clicks")
+    compared = V.frame_parity(
+        R.cells(rows, ROLLUP_CUTS, by), R.compact_cells(rows, ROLLUP_CUTS, by),
+        [*by, "dim", "val"], ints, ("revenue",),
+    )
+    row = V.parity_summary(compared, "compact").first()
+    assert row["n_keys"] > 0 and row["mismatches"] == 0
+
+
 def test_health_names_what_is_wrong(spark, rolled):
     counted = rolled.rows(()).agg(F.count(F.lit(1)).alias("fact_events"))
 
