@@ -18,7 +18,7 @@ from swingtrace.operators import baseline as B
 from swingtrace.operators import query as Q
 from swingtrace.operators import rollup as R
 from swingtrace.plans import sqltext as S
-from swingtrace.plans.registry import folded, query, rnd, rounded
+from swingtrace.plans.registry import by_metric, folded, query, rnd, rounded
 from swingtrace.sources import adapter as A
 from swingtrace.sources import ingest
 from swingtrace.sources.store import new_path
@@ -310,7 +310,8 @@ def guard_window(spark, sf):
 
 # -- metrics and aggregations -------------------------------------------------------------------
 
-_DIGITS = {m: (4 if m in ("revenue", "ecpm") else 6) for m in METRICS}
+# Money per count is rounded where a quotient of exact cents cannot fall on a rounding boundary.
+_DIGITS = {m: {"revenue": 4, "rpr": 2, "ecpm": -2}.get(m, 6) for m in METRICS}
 
 
 def _metric_columns():
@@ -538,13 +539,13 @@ def q_measure(spark, sf):
     "q_measure_hourly",
     f"""WITH {S.enriched()},
 g AS (SELECT event_hour, {S.SUMS} FROM enriched WHERE {WINDOW} GROUP BY 1)
-SELECT event_hour, {S.r(S.value("rpr"), 6)} AS value, events AS requests,
+SELECT event_hour, {S.r(S.value("rpr"), 2)} AS value, events AS requests,
        {S.r("events * 100.0 / (SELECT sum(events) FROM g)")} AS share_pct, NOT (events < 500) AS reliable
 FROM g ORDER BY event_hour LIMIT 201""",
 )
 def q_measure_hourly(spark, sf):
     rows = Q.measure(folded(spark, sf), "rpr", FROM, TO, granularity="hour", limit=200)
-    return rounded(rows, value=6, share_pct=6).drop("note", "numerator", "denominator")
+    return rounded(rows, value=2, share_pct=6).drop("note", "numerator", "denominator")
 
 
 def _compare_sql(metric: str, by: str, base, digits: int) -> str:
@@ -636,9 +637,10 @@ _SERIES = f"""WITH {S.fact()}, daily AS (SELECT event_date AS d, {S.SUMS} FROM f
 series AS MATERIALIZED ({S.stacked(list(METRICS), "daily", "d")})"""
 
 
-@query("q_daily_series", f"{_SERIES} SELECT metric, d, {S.r('v', 4)} AS v FROM series")
+@query("q_daily_series", f"{_SERIES} SELECT metric, d, {S.by_metric('v')} AS v FROM series")
 def q_daily_series(spark, sf):
-    return rounded(Q.daily_series(folded(spark, sf)), v=4)
+    series = Q.daily_series(folded(spark, sf))
+    return series.withColumn("v", by_metric("v"))
 
 
 @query(

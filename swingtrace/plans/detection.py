@@ -16,6 +16,7 @@ from swingtrace.plans import sqltext as S
 from swingtrace.plans.basics import FROM, TO, WINDOW, _CELL_SUMMARY, cell_summary
 from swingtrace.plans.registry import (
     FOLDED,
+    by_metric,
     folded,
     panel_rows,
     query,
@@ -114,13 +115,14 @@ def rollup_health(spark, sf):
     return R.rollup_health(counted, source.hourly, source.daily)
 
 
-_FIRINGS = f"""SELECT metric, dim, val, day, {S.r("actual", 4)} AS actual,
+_FIRINGS = f"""SELECT metric, dim, val, day, {S.by_metric("actual")} AS actual,
        {S.r("baseline", 4)} AS baseline, {S.r("pct", 4)} AS pct, {S.r("sigma", 4)} AS sigma,
        requests FROM firings"""
 
 
 def _firings(df):
-    return rounded(df, actual=4, baseline=4, pct=4, sigma=4)
+    shown = rounded(df, baseline=4, pct=4, sigma=4)
+    return shown.withColumn("actual", by_metric("actual"))
 
 
 @query("rollup_sweep", f"WITH {S.enriched()}, {S.firings(SWEPT, FLOOR)} {_FIRINGS}")
@@ -170,14 +172,12 @@ def d_trend_baseline(spark, sf):
 @query(
     "d_platform_scan",
     f"""WITH {S.enriched()}, {_SERIES}
-SELECT metric, d AS day, {S.r("v", 4)} AS actual, {S.r("baseline", 4)} AS baseline,
+SELECT metric, d AS day, {S.by_metric("v")} AS actual, {S.r("baseline", 4)} AS baseline,
        {S.r("pct", 4)} AS pct, {S.r("sigma", 4)} AS sigma
 FROM judged WHERE abs(pct) >= {T.platform_pct} AND abs(sigma) >= {T.platform_sigma}""",
 )
 def d_platform_scan(spark, sf):
-    return rounded(
-        D.platform_scan(folded(spark, sf)), actual=4, baseline=4, pct=4, sigma=4
-    )
+    return _firings(D.platform_scan(folded(spark, sf)))
 
 
 def detect_sql(metric: str, start: str, end: str, where: str = "TRUE") -> str:

@@ -44,6 +44,16 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: rnd(c, d) for c, d in digits.items()})
 
 
+def by_metric(column: str) -> Column:
+    """A metric's value, rounded to what its unit can carry."""
+    metric = F.col("metric")
+    return (
+        F.when(metric == "ecpm", rnd(column, -2))
+        .when(metric == "rpr", rnd(column, 2))
+        .otherwise(rnd(column, 4))
+    )
+
+
 def folded(spark: SparkSession, sf_dir: str) -> EventSource:
     return EventSource(A.star(spark, sf_dir))
 

@@ -14,6 +14,13 @@ def r(x: str, digits: int = 6) -> str:
     return f"(round({x}, {digits}) + 0.0)"
 
 
+def by_metric(x: str) -> str:
+    """A metric's value, rounded to what its unit can carry."""
+    return (
+        f"CASE metric WHEN 'ecpm' THEN {r(x, -2)} WHEN 'rpr' THEN {r(x, 2)} ELSE {r(x, 4)} END"
+    )
+
+
 def _events(fold: int) -> str:
     return f"""
     SELECT CAST((CAST(l_shipdate AS DATE) - DATE '{A.FIRST_SHIP_DATE}') % {fold} AS INTEGER) AS off,
