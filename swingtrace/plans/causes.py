@@ -8,7 +8,6 @@ from swingtrace.config import OWNERS, T, sweep_cuts
 from swingtrace.functions import masks
 from swingtrace.functions.metrics import METRICS
 from swingtrace.operators import baseline as B
-from swingtrace.operators import detect as D
 from swingtrace.operators import explain as X
 from swingtrace.operators import investigate as I
 from swingtrace.operators import localize as L

@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from swingtrace.config import T
 from swingtrace.operators import detect as D
