@@ -45,9 +45,9 @@ class Rules:
     min_words: int = 20
     max_repeat_pct: int = 30
     guard_chars: int = 200
-    guard_words: int = 60
-    max_class_distance: float = 0.25
-    max_word_distance: float = 0.5
+    guard_words: int = 150
+    max_class_distance: float = 0.22
+    max_word_distance: float = 0.25
 
 
 def language_group(lang: Column) -> Column:

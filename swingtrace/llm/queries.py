@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from swingtrace.llm import quality
+from swingtrace.llm import nearcopies, quality
 
 QUERIES = {
+    "op4_near_copies": nearcopies.query,
     "op9_quality": quality.query,
 }
 
 ORACLE = {
+    "op4_near_copies": nearcopies.sql(),
     "op9_quality": quality.sql(),
 }
