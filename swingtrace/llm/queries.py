@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from swingtrace.llm import nearcopies, quality
+from swingtrace.llm import contamination, nearcopies, quality
 
 QUERIES = {
     "op4_near_copies": nearcopies.query,
+    "op5_contamination": contamination.query,
     "op9_quality": quality.query,
 }
 
 ORACLE = {
     "op4_near_copies": nearcopies.sql(),
+    "op5_contamination": contamination.sql(),
     "op9_quality": quality.sql(),
 }
