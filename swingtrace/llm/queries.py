@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from swingtrace.llm import contamination, nearcopies, quality
+from swingtrace.llm import archives, contamination, mixing, nearcopies, private, quality
 
 QUERIES = {
+    "op3_private": private.query,
     "op4_near_copies": nearcopies.query,
     "op5_contamination": contamination.query,
+    "op6_archives": archives.query,
+    "op8_mixing": mixing.query,
     "op9_quality": quality.query,
 }
 
 ORACLE = {
     "op4_near_copies": nearcopies.sql(),
     "op5_contamination": contamination.sql(),
+    "op8_mixing": mixing.sql(),
     "op9_quality": quality.sql(),
 }
