@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from swingtrace.llm import archives, contamination, mixing, nearcopies, private, quality
+from swingtrace.llm import archives, contamination, mixing, nearcopies, private, quality, repeats, secrets
 
 QUERIES = {
+    "op2_repeats": repeats.query,
     "op3_private": private.query,
     "op4_near_copies": nearcopies.query,
     "op5_contamination": contamination.query,
     "op6_archives": archives.query,
     "op8_mixing": mixing.query,
     "op9_quality": quality.query,
+    "op10_secrets": secrets.query,
 }
 
 ORACLE = {
