@@ -5,8 +5,8 @@
 3. Registers are cut into 64 bands of four. At a similarity of 0.75 all bands differ with a probability
    of 0.684^64 < 1e-10.
 4. In a bucket of up to `small` classes all pairs are candidates. In a larger one every class is compared
-   with one leader a pass; links found join classes, and only buckets that still hold several components
-   go to the next pass, with another leader. Once a bucket has few pairs across components left (16 a
+   with four leaders a pass; links found join classes, and only buckets that still hold several components
+   go to the next pass, with other leaders. Once a bucket has few pairs across components left (16 a
    row), or after `passes` passes, all of these are compared: no pair is given up.
 5. Candidates are pruned by set sizes (exact) and by the likelihood estimate, with six standard errors
    of room; the rest are verified on the full sets.
@@ -32,6 +32,7 @@ from swingtrace.llm.setsketch import REGISTERS, similarity, sketches
 
 BAND = 4
 BATCH_BYTES = 1 << 21
+LEADERS = 4
 MARGIN = 0.17  # six standard errors of the estimate at 256 registers
 
 
@@ -148,20 +149,23 @@ def links(
     edges, labels = None, None
     for turn in range(passes + 1):
         placed = _label(mates, labels)
-        sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), "key")).alias("first"))
+        leads = {
+            f"l{j}": F.min(F.struct(F.xxhash64("key", F.lit(LEADERS * turn + j)).alias("o"), "key", "label")) for j in range(LEADERS)
+        }
+        sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in leads.items()))
         sizes = sizes.groupBy("bucket").agg(
             F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("labels"),
-            F.min(F.struct("first", "label")).alias("lead"),
+            *(F.min(k).alias(k) for k in leads),
         ).filter("labels > 1")
         few = (F.col("rows") <= small) | (F.col("rows") * F.col("rows") - F.col("squares") <= 2 * 16 * F.col("rows")) | F.lit(turn == passes)
-        sizes = stored(sizes.select("bucket", few.alias("few"), F.col("lead.first.key").alias("leader"), F.col("lead.label").alias("lead_label")), "open")
+        sizes = stored(sizes.select("bucket", few.alias("few"), F.array_distinct(F.array(*leads)).alias("leaders")), "open")
         still = placed.join(sizes, "bucket")
         near = still.filter("few").select("bucket", "key", "label")
         other = near.select("bucket", F.col("key").alias("b"), F.col("label").alias("other"))
         all_pairs = near.join(other, "bucket").filter((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")))
-        to_leader = still.filter(~F.col("few") & (F.col("label") != F.col("lead_label")))
+        to_leader = still.filter(~F.col("few")).select("key", "label", F.explode("leaders").alias("l")).filter("label != l.label")
         pairs = all_pairs.select(F.col("key").alias("a"), "b").unionAll(
-            to_leader.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
+            to_leader.select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b"))
         )
         likely = stored(_estimated(pairs.distinct(), sets, pct), "likely")
         found = stored(_verified(likely, sets, docs, pct, text, doc_id, k), "links")
