@@ -4,10 +4,10 @@
 2. Rows with the same set are one class; only classes go on, so exact copies cost one row each.
 3. Registers are cut into 64 bands of four. At a similarity of 0.75 all bands differ with a probability
    of 0.684^64 < 1e-10.
-4. In a bucket of up to `small` classes all pairs are candidates. In a larger one every class is compared
-   with four leaders a pass; links found join classes, and only buckets that still hold several components
-   go to the next pass, with other leaders. Once a bucket has few pairs across components left (16 a
-   row), or after `passes` passes, all of these are compared: no pair is given up.
+4. At first every class of a bucket is compared with one leader of the bucket. Links found join classes, and only
+   buckets that still hold several components go to the next pass: where few pairs across components are
+   left (`few_pairs` a row), all of them are compared, else every class is compared with four other leaders.
+   After `passes` passes all pairs across components are compared: no pair is given up.
 5. Candidates are pruned by set sizes (exact) and by the likelihood estimate, with six standard errors
    of room; the rest are verified on the full sets.
 6. Components are found by star contractions. Nothing is collected but counts.
@@ -134,11 +134,11 @@ def _label(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def links(
-    docs: DataFrame, sets: DataFrame, *, text: str, doc_id: str, k: int, pct: int, small: int, passes: int
+    docs: DataFrame, sets: DataFrame, *, text: str, doc_id: str, k: int, pct: int, few_pairs: int, passes: int
 ) -> DataFrame | None:
     """(node, label) of all linked classes; None if there are no links."""
     bands = sets.select(
-        "key",
+        "key", "n_shingles",
         F.explode(
             F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)),
                         lambda i: F.xxhash64(i, F.substring("registers", i * (2 * BAND) + 1, F.lit(2 * BAND))))
@@ -146,41 +146,46 @@ def links(
     )
     shared = stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "buckets")
     mates = stored(bands.join(shared, "bucket"), "mates")
+    fits = lambda x, y: 100 * F.least(x, y) >= pct * F.greatest(x, y)
     edges, labels = None, None
     for turn in range(passes + 1):
         placed = _label(mates, labels)
+        last = turn == passes
         leads = {
-            f"l{j}": F.min(F.struct(F.xxhash64("key", F.lit(LEADERS * turn + j)).alias("o"), "key", "label")) for j in range(LEADERS)
+            f"l{j}": F.min(F.struct(F.xxhash64("key", F.lit(LEADERS * turn + j)).alias("o"), "key", "label", "n_shingles"))
+            for j in range(LEADERS if turn else 1)
         }
         sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in leads.items()))
         sizes = sizes.groupBy("bucket").agg(
             F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("labels"),
             *(F.min(k).alias(k) for k in leads),
         ).filter("labels > 1")
-        few = (F.col("rows") <= small) | (F.col("rows") * F.col("rows") - F.col("squares") <= 2 * 16 * F.col("rows")) | F.lit(turn == passes)
+        across = F.col("rows") * F.col("rows") - F.col("squares")  # twice the pairs of different components
+        few = (F.col("rows") == 2) | (F.lit(turn > 0) & (across <= 2 * few_pairs * F.col("rows"))) | F.lit(last)
         sizes = stored(sizes.select("bucket", few.alias("few"), F.array_distinct(F.array(*leads)).alias("leaders")), "open")
         still = placed.join(sizes, "bucket")
-        near = still.filter("few").select("bucket", "key", "label")
-        other = near.select("bucket", F.col("key").alias("b"), F.col("label").alias("other"))
-        all_pairs = near.join(other, "bucket").filter((F.col("key") < F.col("b")) & (F.col("label") != F.col("other")))
-        to_leader = still.filter(~F.col("few")).select("key", "label", F.explode("leaders").alias("l")).filter("label != l.label")
+        near = still.filter("few").select("bucket", "key", "label", "n_shingles")
+        other = near.select("bucket", F.col("key").alias("b"), F.col("label").alias("other"), F.col("n_shingles").alias("m"))
+        all_pairs = near.join(other, "bucket").filter(
+            (F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & fits(F.col("n_shingles"), F.col("m"))
+        )
+        to_leader = still.filter(~F.col("few")).select("key", "label", "n_shingles", F.explode("leaders").alias("l"))
+        to_leader = to_leader.filter((F.col("label") != F.col("l.label")) & fits(F.col("n_shingles"), F.col("l.n_shingles")))
         pairs = all_pairs.select(F.col("key").alias("a"), "b").unionAll(
             to_leader.select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b"))
         )
         likely = stored(_estimated(pairs.distinct(), sets, pct), "likely")
         found = stored(_verified(likely, sets, docs, pct, text, doc_id, k), "links")
         edges = found if edges is None else edges.unionAll(found)
-        hot = sizes.filter("not few").limit(1).count()
-        if turn == 0 or hot:
-            labels = stored(components(edges), "labels")
-        if not hot:
+        labels = stored(components(edges), "labels")
+        if last or not sizes.filter("not few").limit(1).count():
             break
         mates = stored(mates.join(sizes.filter("not few").select("bucket"), "bucket"), "mates")
-    return labels if turn == 0 else stored(components(edges), "labels")
+    return labels
 
 
 def near_copies(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, pct: int = 75, small: int = 32, passes: int = 8
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, pct: int = 75, few_pairs: int = 4, passes: int = 8
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept, and `repeats` (rows that bear the component's own id)."""
     found = stored(prints(docs, text=text, doc_id=doc_id, k=k), "prints")
@@ -193,7 +198,7 @@ def near_copies(
         ),
         "sets",
     )
-    labels = links(docs, sets, text=text, doc_id=doc_id, k=k, pct=pct, small=small, passes=passes)
+    labels = links(docs, sets, text=text, doc_id=doc_id, k=k, pct=pct, few_pairs=few_pairs, passes=passes)
     classes = _label(sets.select("key", "rep", "copies"), labels)
     named = classes.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
     groups = stored(classes.join(named.filter("members > 1"), "label").select("key", "component_id"), "groups")
