@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from swingtrace.llm import archives, contamination, mixing, nearcopies, private, quality, repeats, secrets
+from swingtrace.llm import archives, contamination, crossentropy, mixing, nearcopies, pagetext, private, quality, repeats, secrets
 
 QUERIES = {
+    "op1_page_text": pagetext.query,
     "op2_repeats": repeats.query,
     "op3_private": private.query,
     "op4_near_copies": nearcopies.query,
     "op5_contamination": contamination.query,
     "op6_archives": archives.query,
+    "op7_cross_entropy": crossentropy.query,
     "op8_mixing": mixing.query,
     "op9_quality": quality.query,
     "op10_secrets": secrets.query,
