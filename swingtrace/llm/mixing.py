@@ -71,7 +71,7 @@ def share_out(children: DataFrame, parent: list[str], child: str) -> DataFrame:
             "left": F.col("parent_budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0)),
             "weights": F.sum("weight").over(after),
         }
-    ).withColumn("full", F.col("capacity") * F.col("weights") <= F.col("weight") * F.col("left"))
+    ).withColumn("full", (F.col("weight") > 0) & (F.col("capacity") * F.col("weights") <= F.col("weight") * F.col("left")))
     d = d.withColumns(
         {
             "rest": F.col("parent_budget") - F.sum(F.when(F.col("full"), F.col("capacity")).otherwise(0)).over(whole),
@@ -89,8 +89,10 @@ def leaves(counted: DataFrame, plan: Plan) -> DataFrame:
     keys = ["domain", "lang", "source"]
     leaf = stored(
         counted.groupBy(*keys).agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("rows")), "leaves"
-    ).withColumn("capacity", F.col("supply") * plan.max_epochs)
+    )
     listed = {"domain": plan.domains, "lang": plan.langs, "source": plan.sources}
+    least = F.least(*(_weight(k, listed[k], plan.default) for k in keys))  # a leaf under a weight of zero gives nothing
+    leaf = leaf.withColumn("capacity", F.when(least > 0, F.col("supply") * plan.max_epochs).otherwise(0))
     budgets = leaf.agg(F.expr(f"coalesce(sum(supply), 0) * {plan.share_pct} div 100").alias("budget"))
     for depth, level in enumerate(keys):
         parent = keys[:depth]
@@ -160,10 +162,12 @@ def sql(plan: Plan = Plan(), source: str = "documents") -> str:
     keys = ["domain", "lang", "source"]
     listed = {"domain": plan.domains, "lang": plan.langs, "source": plan.sources}
     web = ", ".join(f"'{s}'" for s in WEB)
+    weights = ", ".join(_sql_weight(k, listed[k], plan.default) for k in keys)
     out = rf"""
 WITH c AS (SELECT doc_id, CASE WHEN coalesce(source, '') IN ({web}) THEN 'web' ELSE 'curated' END AS domain, coalesce(lang, '') AS lang,
   coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM {source}),
-leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply, sum(n_tokens)::BIGINT * {plan.max_epochs} AS capacity FROM c GROUP BY 1, 2, 3),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply, CASE WHEN least({weights}) > 0
+  THEN sum(n_tokens)::BIGINT * {plan.max_epochs} ELSE 0 END AS capacity FROM c GROUP BY 1, 2, 3),
 b_ AS (SELECT coalesce(sum(supply), 0)::BIGINT * {plan.share_pct} // 100 AS budget FROM leaf)"""
     for depth, level in enumerate(keys):
         parent, mine = keys[:depth], keys[: depth + 1]
@@ -174,7 +178,7 @@ b_ AS (SELECT coalesce(sum(supply), 0)::BIGINT * {plan.share_pct} // 100 AS budg
         out += f""",
 n_{level} AS (SELECT {mine_sql}, n.capacity, {_sql_weight(level, listed[level], plan.default)} AS weight, p.budget AS parent_budget
   FROM (SELECT {mine_sql}, sum(capacity)::BIGINT AS capacity FROM leaf GROUP BY {mine_sql}) n {join}),
-f_{level} AS (SELECT *, capacity * sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= weight * (parent_budget -
+f_{level} AS (SELECT *, weight > 0 AND capacity * sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= weight * (parent_budget -
   coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS filled FROM n_{level}),
 r_{level} AS (SELECT *, parent_budget - sum(CASE WHEN filled THEN capacity ELSE 0 END) OVER ({by}) AS rest,
   sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({by}) AS open FROM f_{level}),

@@ -37,7 +37,7 @@ MARGIN = 0.17  # six standard errors of the estimate at 256 registers
 
 
 def prints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, key, registers) for every row."""
+    """(doc_id, text_hash, n_shingles, key, registers) for every row."""
 
     def run(iterator):
         for batch, texts in batches(iterator, BATCH_BYTES):
@@ -46,17 +46,17 @@ def prints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: in
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([r.tobytes() if len(s) else None for s, r in zip(sets, regs, strict=True)], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "key", "registers"],
+                names=["doc_id", "text_hash", "n_shingles", "key", "registers"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, key binary, registers binary"
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, key binary, registers binary")
 
 
 def _estimated(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
@@ -187,7 +187,7 @@ def links(
 def near_copies(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, pct: int = 75, few_pairs: int = 4, passes: int = 8
 ) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept, and `repeats` (rows that bear the component's own id)."""
+    """Per row of docs: doc_id, text_hash, n_shingles, component_id, kept."""
     found = stored(prints(docs, text=text, doc_id=doc_id, k=k), "prints")
     sets = stored(
         found.filter("n_shingles > 0")
@@ -202,29 +202,34 @@ def near_copies(
     classes = _label(sets.select("key", "rep", "copies"), labels)
     named = classes.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
     groups = stored(classes.join(named.filter("members > 1"), "label").select("key", "component_id"), "groups")
-    rows = found.select("doc_id", "n_shingles", "key").join(groups, "key", "left")
+    rows = found.select("doc_id", "text_hash", "n_shingles", "key").join(groups, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each component: that with the least id; of rows repeating that id, one stays.
-
-    Rows with a null id are kept if nothing with an id is linked with them.
+    """docs with one row of each component: that with the least id. Of rows that repeat an id and its text one stays;
+    rows of one id with different texts are different documents. Rows with a null id stay if no row with an id is linked.
     """
-    verdict = near_copies(docs, text=text, doc_id=doc_id, **options)
-    dropped = stored(verdict.filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    repeated = stored(verdict.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("dropped_id")), "repeated")
-    kept = docs.join(dropped, docs[doc_id].eqNullSafe(dropped["dropped_id"]), "left_anti")
-    once = kept.join(repeated, kept[doc_id].eqNullSafe(repeated["dropped_id"]), "left_anti")
-    again = kept.join(repeated, kept[doc_id].eqNullSafe(repeated["dropped_id"]), "left_semi")
+    verdict = stored(near_copies(docs, text=text, doc_id=doc_id, **options), "verdict")
+    pair = lambda df, *names: df.select(*(F.col(c).alias(f"{c}_") for c in names))
+    dropped = stored(pair(verdict.filter("not kept"), "doc_id", "text_hash").distinct(), "dropped")
+    repeated = verdict.filter("kept").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    repeated = stored(pair(repeated, "doc_id", "text_hash"), "repeated")
+
+    def of(other: DataFrame):
+        return docs[doc_id].eqNullSafe(other["doc_id_"]) & (F.xxhash64(docs[text]) == other["text_hash_"])
+
+    kept = docs.join(dropped, of(dropped), "left_anti")
+    once = kept.join(repeated, of(repeated), "left_anti")
+    again = kept.join(repeated, of(repeated), "left_semi")
     return once.unionAll(again.dropDuplicates([doc_id, text]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(table(spark, sf_dir, "documents"))
+    return near_copies(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def sql(source: str = "documents", k: int = 5, pct: int = 75) -> str:

@@ -57,6 +57,7 @@ INPUTS = PATH + WORDS + COUNTS
 @dataclass(frozen=True)
 class Options:
     train_pages: int = 300
+    variants: int = 900  # of all pages together
     hidden: int = 16
     epochs: int = 6
     seed: int = 11
@@ -195,11 +196,10 @@ def train(pages: DataFrame, html: str = "html", options: Options = Options()) ->
     chosen = pages.select(h.alias("h")).filter(h.isNotNull()).orderBy(F.xxhash64("h"), "h").limit(options.train_pages)
     names, words, rng = _Hashed(PATH), _Hashed(WORDS), random.Random(options.seed)
     sequences = []
-    for r in chosen.toLocalIterator():
-        page = blocks(r.h)
-        if not page:
-            continue
-        for dressed in ([(*b, weak_label(b[0])) for b in page], variant(page, rng), variant(page, rng), variant(page, rng)):
+    parsed = [page for page in (blocks(r.h) for r in chosen.toLocalIterator()) if page]
+    for page in parsed:
+        plain = [(*b, weak_label(b[0])) for b in page]
+        for dressed in (plain, *(variant(page, rng) for _ in range(-(-options.variants // len(parsed))))):
             y = np.array([max(0, b[3]) for b in dressed], np.float32)
             weight = np.array([float(b[3] >= 0) for b in dressed], np.float32)
             x = vectors([b[:3] for b in dressed], names, words)
