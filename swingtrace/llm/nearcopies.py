@@ -2,11 +2,11 @@
 
 1. Each text becomes its set of k-word shingles, a 128-bit key of that set and 256 registers.
 2. Rows with the same set are one class; only classes go on, so exact copies cost one row each.
-3. Registers are cut into 64 bands of four. At a similarity of 0.75 all bands differ with a probability
-   of 0.684^64 < 1e-10.
+3. Registers are cut into 51 bands of five. At a similarity of 0.75 all bands differ with a probability
+   of 0.763^51 = 1e-6.
 4. At first every class of a bucket is compared with one leader of the bucket. Links found join classes, and only
    buckets that still hold several components go to the next pass: where few pairs across components are
-   left (`few_pairs` a row), all of them are compared, else every class is compared with four other leaders.
+   left (`few_pairs` a row), all of them are compared, else every class is compared with two other leaders.
    After `passes` passes all pairs across components are compared: no pair is given up.
 5. Candidates are pruned by set sizes (exact) and by the likelihood estimate, with six standard errors
    of room; the rest are verified on the full sets.
@@ -30,9 +30,9 @@ from swingtrace.llm.components import components
 from swingtrace.llm.hashing import batches, set_key, shingle_sets
 from swingtrace.llm.setsketch import REGISTERS, similarity, sketches
 
-BAND = 4
+BAND = 5
 BATCH_BYTES = 1 << 21
-LEADERS = 4
+LEADERS = 2
 MARGIN = 0.17  # six standard errors of the estimate at 256 registers
 
 
@@ -185,7 +185,7 @@ def links(
 
 
 def near_copies(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, pct: int = 75, few_pairs: int = 4, passes: int = 8
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, pct: int = 75, few_pairs: int = 2, passes: int = 8
 ) -> DataFrame:
     """Per row of docs: doc_id, text_hash, n_shingles, component_id, kept."""
     found = stored(prints(docs, text=text, doc_id=doc_id, k=k), "prints")
