@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,12 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 _CONF = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _of_this_process() -> str:
+    return tempfile.mkdtemp(prefix="swingtrace-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is configured (tests)."""
+    """The session's checkpoint folder. Where none is set, a local session gets a folder of its own; a cluster has
+    no folder that is sure to be shared, so there it is an error.
+    """
     configured = spark.conf.get(_CONF, None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="swingtrace-")
-        spark.conf.set(_CONF, configured)
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()  # sparkContext.setCheckpointDir
+        configured = given.get() if given.isDefined() else None
+    if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {_CONF} to a folder that the driver and all executors share")
+        configured = _of_this_process()
     return configured.rstrip("/")
 
 
