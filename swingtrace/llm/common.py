@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swingtrace.sources.store import new_path
+
 #: White space of the word definition: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
@@ -35,13 +35,7 @@ def count_of(text: Column, characters: str) -> Column:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isEmpty():
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = jvm_dir.get()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -49,8 +43,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def packed(df: DataFrame, *named: Column) -> DataFrame:
-    """The named columns beside one struct `row` of all of df's, so that no name of df's can clash."""
-    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), *named)
