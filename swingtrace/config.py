@@ -108,9 +108,7 @@ class Thresholds:
     recovery_pct: float = 3.0
 
     default_rows: int = 25
-    max_rows: int = 200
     max_group_by: int = 2
-    sweep_rows: int = 50
     recent_days: int = 7
 
 

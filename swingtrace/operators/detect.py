@@ -101,15 +101,15 @@ def detect_rows(
     passes = (F.abs(pct) >= t.platform_pct) & (F.abs(sigma) >= t.platform_sigma)
     enough = days >= t.min_baseline_days
     refusal = F.format_string(
-        "Insufficient baseline: %d same-weekday observation(s), need %d.",
+        "Comparable days before it: %d. Needed: %d.",
         days,
         F.lit(t.min_baseline_days),
     )
     moved = F.format_string(
-        "%.1f%% move at %.1f sigma against %d same-weekday days.", pct, sigma, days
+        "%.1f%% off, %.1f standard deviations of %d comparable days.", pct, sigma, days
     )
     inside = F.format_string(
-        f"Within band: %.1f%% (gate {t.platform_pct:g}%%), %.1f sigma (gate {t.platform_sigma:g}).",
+        f"%.1f%% off (limit {t.platform_pct:g}%%), %.1f standard deviations (limit {t.platform_sigma:g}).",
         pct,
         sigma,
     )
@@ -470,10 +470,10 @@ def find_incidents(
     source: EventSource,
     metrics: Sequence[str] = SWEEP_METRICS,
     window: tuple[B.Day, B.Day] | None = None,
-    limit: int = 12,
+    limit: int | None = 12,
     t: Thresholds = DEFAULTS,
 ) -> DataFrame:
-    """The incident windows that matter most, by size times duration."""
+    """The incident windows that matter most, by size times duration; all of them without a limit."""
     windows = cluster_windows(group_incidents(sweep(source, metrics, window, t)), t)
     order = (F.desc("severity"), "metric", "start", "lead_dim", "lead_val")
-    return windows.orderBy(*order).limit(min(limit, t.sweep_rows))
+    return windows.orderBy(*order) if limit is None else windows.orderBy(*order).limit(limit)

@@ -36,10 +36,15 @@ def lookup(fact: DataFrame, dim: DataFrame, key: str, columns: dict[str, str]) -
 
 
 def with_calendar(fact: DataFrame) -> DataFrame:
-    """Date, hour bucket, weekday (1 = Monday) and hour of day."""
+    """Date, hour bucket, weekday (1 = Monday) and hour of day.
+
+    A stored ``event_date`` is kept: it is what the fact is partitioned by, and only a filter on the stored
+    column leaves whole days unread.
+    """
+    date = {} if "event_date" in fact.columns else {"event_date": F.to_date("event_time")}
     return fact.withColumns(
         {
-            "event_date": F.to_date("event_time"),
+            **date,
             "event_hour": F.date_trunc("hour", "event_time"),
             "day_of_week": F.weekday("event_time") + 1,
             "hour_of_day": F.hour("event_time"),

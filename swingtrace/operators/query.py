@@ -35,7 +35,7 @@ def row_limit(limit: int | None) -> int:
         return T.default_rows
     if limit < 1:
         raise QueryError("limit must be positive")
-    return min(int(limit), T.max_rows)
+    return int(limit)
 
 
 def check_group_by(metric: str, dims: Sequence[str]) -> list[str]:
@@ -177,7 +177,10 @@ def rank(
     limit: int | None = None,
     min_requests: int = T.segment_min_requests,
 ) -> DataFrame:
-    """Values of one dimension by a metric. Shares are over the rows that pass the floors."""
+    """Values of one dimension by a metric. Shares are over the rows that pass the floors.
+
+    Like every listing here, up to ``limit + 1`` rows: the extra row says that there are more.
+    """
     m = resolve_metric(metric)
     dim = check_dimension(metric, dimension)
     directions = {
@@ -190,17 +193,17 @@ def rank(
     where = in_window(start, end if end is not None else start)
     grouped = source.grouped([dim], [dim], scope(filters, metric), where)
     kept = grouped.filter(m.floors(min_requests)).select(dim, *_level(m))
-    return with_share(kept).orderBy(directions[order], dim).limit(row_limit(limit))
+    return with_share(kept).orderBy(directions[order], dim).limit(row_limit(limit) + 1)
 
 
 def dimension_values(
     source: EventSource, dimension: str, metric: str, start: Day, end: Day, limit: int = 30
 ) -> DataFrame:
-    """Values of a dimension by traffic."""
+    """Values of a dimension by traffic, up to ``limit + 1`` of them."""
     dim = check_dimension(resolve_metric(metric).name, dimension)
     grouped = source.grouped([dim], [dim], where=in_window(start, end))
     values = grouped.select(F.col(dim).alias("value"), F.col("events").alias("requests"))
-    return with_share(values).orderBy(F.desc("requests"), "value").limit(min(max(1, limit), T.max_rows))
+    return with_share(values).orderBy(F.desc("requests"), "value").limit(row_limit(limit) + 1)
 
 
 def stacked(metrics: Sequence[str]) -> Column:

@@ -614,7 +614,7 @@ g AS (SELECT country, {S.SUMS} FROM enriched WHERE {WINDOW} GROUP BY 1)
 SELECT country, {S.r(S.value("render_rate"))} AS value, events AS requests,
        {S.r("events * 100.0 / sum(events) OVER ()")} AS share_pct
 FROM g WHERE events >= 150 AND {S.value("render_rate")} IS NOT NULL AND impressions >= 50
-ORDER BY {S.value("render_rate")}, country LIMIT 25""",
+ORDER BY {S.value("render_rate")}, country LIMIT 26""",
 )
 def q_rank(spark, sf):
     rows = Q.rank(folded(spark, sf), "render_rate", "country", FROM, TO)
@@ -626,7 +626,7 @@ def q_rank(spark, sf):
     f"""WITH {S.fact()}, g AS (SELECT app_id AS value, count(*)::BIGINT AS requests FROM fact
   WHERE event_date BETWEEN DATE '2026-06-01' AND DATE '2026-07-05' GROUP BY 1)
 SELECT value, requests, {S.r("requests * 100.0 / sum(requests) OVER ()")} AS share_pct
-FROM g ORDER BY requests DESC, value LIMIT 30""",
+FROM g ORDER BY requests DESC, value LIMIT 31""",
 )
 def q_dimension_values(spark, sf):
     rows = Q.dimension_values(folded(spark, sf), "app_id", "revenue", A.EPOCH, "2026-07-05")

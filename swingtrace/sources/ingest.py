@@ -73,9 +73,10 @@ def pending_days(source: DataFrame, loaded: DataFrame) -> DataFrame:
 
 def assert_days(source: DataFrame, loaded: DataFrame) -> None:
     """Fail when any source day is short or duplicated in the target."""
-    wrong = pending_days(source, loaded).orderBy("event_date").limit(5).collect()
-    if wrong:
-        raise ValueError(f"loaded days differ from the source: {[tuple(r) for r in wrong]}")
+    wrong = pending_days(source, loaded)
+    first = wrong.orderBy("event_date").limit(5).collect()
+    if first:
+        raise ValueError(f"{wrong.count()} loaded days differ from the source, first {[tuple(r) for r in first]}")
 
 
 def replace_days(

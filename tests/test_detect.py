@@ -112,7 +112,7 @@ def daily(spark, values):
 def test_one_prior_week_is_refused(spark):
     frame = daily(spark, {0: 0.7, 7: 0.1})
     row = D.detect_rows(frame, "fill_rate", "2026-06-08", "2026-06-08").first()
-    assert not row["anomalous"] and row["reason"].startswith("Insufficient baseline")
+    assert not row["anomalous"] and row["reason"].startswith("Comparable days")
 
 
 def test_small_move_is_not_an_anomaly_however_stable_the_past(spark):

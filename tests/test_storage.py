@@ -141,6 +141,20 @@ def test_empty_keys_never_match_a_dimension(spark):
     assert got == {"": "", "x": "good", "missing": ""}
 
 
+def test_questions_prune_partitions(spark, sf, tmp_path):
+    from swingtrace.operators.localize import Question
+    from swingtrace.operators.source import EventSource
+
+    stored = ingest.write_days(A.ad_events(spark, sf), str(tmp_path / "t"))
+    star = A.star(spark, sf)
+    source = EventSource(A.Star(stored, star.apps, star.advertisers, star.geo_device))
+    q = Question("2026-06-23", "2026-06-24", A.EPOCH)
+    for asked in (source.grouped(["region"], ["region"], where=q.days), source.cells([("region",), ("ad_format",)], where=q.days)):
+        plan = asked._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "PartitionFilters: [], PushedFilters" not in plan.split("event_date")[0]
+        assert "event_date" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+
+
 def test_day_filter_prunes_partitions(spark, sf, tmp_path):
     from swingtrace.operators.baseline import in_window
 
