@@ -36,8 +36,8 @@ from swingtrace.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 200
 SEED = 32
-BATCH_BYTES = 1 << 20
-SHARD_BYTES = 3 << 20
+BATCH_BYTES = 1 << 19
+SHARD_BYTES = 1 << 20
 SPLIT = 4000
 VALUES = mix((np.arange(256, dtype=np.uint64) + np.uint64(7)) * GOLDEN)
 FACTORS = [np.uint64(int(mix(np.array([j], np.uint64))[0]) | 1) for j in range(11, 17)]
