@@ -57,7 +57,12 @@ class EventSource:
 
 
 class RollupSource(EventSource):
-    """Reads the rollups where they carry the cut, the events otherwise."""
+    """Reads the rollups where they carry the cut, the events otherwise.
+
+    Before the first answer the rollups are checked once against the events: unless every key of both
+    grains accounts for every event, all questions go to the events and ``reason`` says why. ``checked=False``
+    trusts the rollups, as does a source without events.
+    """
 
     def __init__(
         self,
@@ -65,17 +70,28 @@ class RollupSource(EventSource):
         daily: DataFrame,
         star: Star | None = None,
         flat: DataFrame | None = None,
+        checked: bool = True,
     ):
         super().__init__(star, flat)
         self.hourly, self.daily = hourly, daily
+        self._reason = "" if not checked or (star is None and flat is None) else None
+
+    @property
+    def reason(self) -> str:
+        """Why the rollups are not read; empty if they are."""
+        if self._reason is None:
+            events = self._star.fact if self._flat is None else self._flat
+            counted = events.agg(F.count(F.lit(1)).alias("fact_events"))
+            self._reason = R.rollup_health(counted, self.hourly, self.daily).first()["reason"]
+        return self._reason
 
     def served_from(self, dims: Iterable[str], grain: str = "daily") -> str:
-        return f"rollup:{grain}" if R.rollup_key(dims) else "raw"
+        return f"rollup:{grain}" if R.rollup_key(dims) and not self.reason else "raw"
 
     def grouped(self, by, dims=(), mask=OPEN, where=None):
         hourly = "event_hour" in by
         rows = R.read_cut(self.hourly if hourly else self.daily, {*dims, *mask.dims})
-        if rows is None:
+        if rows is None or self.reason:
             return super().grouped(by, dims, mask, where)
         if where is not None:
             rows = rows.filter(where)
@@ -83,9 +99,10 @@ class RollupSource(EventSource):
 
     def cells(self, cuts, mask=OPEN, where=None):
         keys = ["|".join(c) for c in cuts]
-        if not mask.is_open or not set(keys) <= set(R.ROLLUP_KEYS):
+        if not mask.is_open or not set(keys) <= set(R.ROLLUP_KEYS) or self.reason:
             return super().cells(cuts, mask, where)
         rows = self.daily.filter(F.col("dim").isin(*keys))
         if where is not None:
             rows = rows.filter(where)
-        return rows.groupBy("event_date", "dim", "val").agg(*rollup_measures())
+        # the daily rollup has one row per day, cut and value already
+        return rows.select("event_date", "dim", "val", "events", "fills", "impressions", "clicks", "revenue")

@@ -79,14 +79,28 @@ def assert_days(source: DataFrame, loaded: DataFrame) -> None:
         raise ValueError(f"{wrong.count()} loaded days differ from the source, first {[tuple(r) for r in first]}")
 
 
+def _days_of(rows: DataFrame) -> set[dt.date]:
+    return {r[0] for r in rows.select("event_date").distinct().collect()}
+
+
+def drop_days(spark: SparkSession, target: str, days: Iterable[dt.date]) -> None:
+    """Remove whole day partitions, on whatever file system the table is."""
+    for day in days:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/event_date={day}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def replace_days(
     fact: DataFrame, target: str, only: Iterable[dt.date] | None = None
 ) -> DataFrame:
-    """Idempotent load: each day replaced, never appended to."""
+    """Idempotent load: each day replaced, never appended to. A chosen day without rows at the source is emptied."""
     days = by_day(fact)
     if only is not None:
+        only = list(only)
         days = days.filter(F.col("event_date").isin(*only))
     _write_days(days, target, ("event_date", "event_time"))
+    if only is not None:
+        drop_days(fact.sparkSession, target, set(only) - _days_of(days))
     return read_days(fact.sparkSession, target)
 
 
@@ -102,8 +116,8 @@ def write_rollups(
     hourly = rollup_hourly(events, compact=compact)
     _write_days(hourly, hourly_path, ("event_date", "dim", "val", "event_hour"))
     stored = read_hourly(spark, hourly_path)
-    touched = [r[0] for r in events.select("event_date").distinct().collect()]
-    fresh = stored.filter(F.col("event_date").isin(*touched)) if touched else stored
+    touched = sorted(_days_of(events))
+    fresh = stored.filter(F.col("event_date").isin(*touched)) if touched else stored.filter("false")
     _write_days(rollup_daily(fresh), daily_path, ("event_date", "dim", "val"))
     return stored, read_daily(spark, daily_path)
 
@@ -123,6 +137,9 @@ def backfill_days(
     chosen = list(days)
     events = enriched.filter(F.col("event_date").isin(*chosen))
     hourly, daily = write_rollups(events, hourly_path, daily_path)
+    for path in (hourly_path, daily_path):  # days emptied at the source
+        drop_days(enriched.sparkSession, path, set(chosen) - _days_of(events))
+    hourly, daily = read_hourly(enriched.sparkSession, hourly_path), read_daily(enriched.sparkSession, daily_path)
     expected = events.count()
     covered = daily.filter((F.col("dim") == "ad_format") & F.col("event_date").isin(*chosen))
     got = covered.agg(F.coalesce(F.sum("events"), F.lit(0))).first()[0]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 
 from swingtrace import schema
 from swingtrace.operators.watch import advance, match_watches
-from swingtrace.sources.store import new_path
 
 FIELDS = ("watch_id", "user_id", "metric", "dimension", "value", "day", "pct", "sigma",
           "requests_per_day")
@@ -16,15 +15,16 @@ class WatchRunner:
     """Matches each batch of incidents with the watches and moves their cursors.
 
     Cursors are a table per batch number, so a batch that is replayed after a failure starts from
-    the cursors it started from the first time. Running again continues where the last run stopped.
+    the cursors it started from the first time. Cursors and progress lie beside the log, so a new process
+    with the same log continues where the last run stopped; the watches given then are not read again.
     """
 
     def __init__(self, watches: DataFrame, log_path: str):
         self.spark = watches.sparkSession
         self.log_path = log_path
-        self.state = new_path(self.spark, "watch-cursors")
-        self.progress = new_path(self.spark, "watch-state")
-        watches.write.parquet(f"{self.state}/before=0")
+        self.state = f"{log_path.rstrip('/')}-cursors"
+        self.progress = f"{log_path.rstrip('/')}-progress"
+        watches.write.mode("ignore").parquet(f"{self.state}/before=0")
 
     def cursors(self, batch_id: int) -> DataFrame:
         return self.spark.read.schema(schema.WATCHES).parquet(f"{self.state}/before={batch_id}")

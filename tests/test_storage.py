@@ -164,3 +164,50 @@ def test_day_filter_prunes_partitions(spark, sf, tmp_path):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in text
     assert "ReadSchema: struct<ad_format:string>" in text
+
+
+def test_a_short_rollup_is_not_read(rolled, spark, sf):
+    star = A.star(spark, sf)
+    short = rolled.daily.filter("event_date < '2026-06-30'")
+    source = RollupSource(rolled.hourly, short, star=star)
+    assert rolled.served_from(["region"]) == "rollup:daily" and rolled.reason == ""
+    assert source.served_from(["region"]) == "raw" and source.reason == "daily rollup does not match the events"
+    got = source.grouped([], where=None).first()["events"]
+    assert got == star.fact.count()
+
+
+def test_days_emptied_at_the_source_are_emptied(spark, sf, tmp_path):
+    import datetime as dt
+
+    day = dt.date(2026, 6, 23)
+    fact = A.ad_events(spark, sf)
+    loaded = ingest.replace_days(fact, str(tmp_path / "t"))
+    assert loaded.filter(F.col("event_date") == day).count() > 0
+    left = fact.filter(F.to_date("event_time") != day)
+    again = ingest.replace_days(left, str(tmp_path / "t"), only=[day])
+    assert again.filter(F.col("event_date") == day).count() == 0 and again.count() == left.count()
+    star = A.star(spark, sf)
+    from swingtrace.operators.enrich import enrich_star
+
+    whole = enrich_star(star.fact, star.apps, star.advertisers, star.geo_device).filter(F.col("event_date") >= dt.date(2026, 6, 22))
+    paths = str(tmp_path / "h"), str(tmp_path / "d")
+    ingest.write_rollups(whole, *paths)
+    _, daily = ingest.backfill_days(whole.filter(F.col("event_date") != day), [day], *paths)
+    assert daily.filter(F.col("event_date") == day).count() == 0 and daily.count() > 0
+
+
+def test_a_second_stream_run_counts_nothing_twice(spark, sf, tmp_path):
+    from swingtrace.streaming import rollups as R
+
+    star = A.star(spark, sf)
+    files, fact, hourly, daily = (str(tmp_path / n) for n in ("in", "fact", "h", "d"))
+    events = star.fact.select("event_time", "app_id", "geo_device_id", "advertiser_id", "ad_format", "is_filled", "is_impression", "is_click", "revenue")
+    early = events.filter("event_time < '2026-06-20'")
+    total = lambda: ingest.read_daily(spark, daily).filter("dim = 'ad_format'").agg(F.sum("events")).first()[0]
+    early.repartition(2).write.parquet(files)
+    for _ in range(2):
+        R.run_rollups(R.read_events(spark, files, 1), star, hourly, daily, fact)
+        assert total() == early.count()
+    events.filter("event_time >= '2026-06-20'").write.mode("append").parquet(files)
+    R.run_rollups(R.read_events(spark, files), star, hourly, daily, fact)
+    assert total() == events.count()
