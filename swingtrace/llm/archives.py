@@ -7,7 +7,7 @@ to it; which that is comes from one aggregation over payload digests.
 Spark's text writer stores the archives, so they go to any file system with its commit protocol: a
 member of less than 2^24 bytes ends in a zero byte (the high byte of its length field), and that byte is
 the writer's line separator. A longer record is written as two members whose halves a reader joins, as
-gzip allows. Archives take about `archive_bytes` of payload each.
+gzip allows. Archives take about `archive_bytes` of payload at most.
 
 The reader takes an archive's bytes in order: it feeds a zlib decompressor chunk by chunk, takes as many bytes as
 Content-Length says, checks the block and the payload digest, and starts the next member where the last one
@@ -173,7 +173,7 @@ def write(
     revisits = sums.join(stored(first, "first"), ["sha", "bytes"]).filter(F.col("place") != F.col("first_place"))
     revisits = stored(revisits.select("place", F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("refers_to")), "revisits")
     rows = placed.join(revisits, placed["_place"] == revisits["place"], "left")
-    total = sums.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    mean = sums.agg(F.avg("bytes")).first()[0] or 0.0
 
     def run(iterator):
         for batch in iterator:
@@ -185,10 +185,10 @@ def write(
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    members = rows.select(text(page_id), text(url), F.col(html), "refers_to").repartition(
-        max(1, -(-total // archive_bytes))
-    ).mapInArrow(run, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    members = rows.select(text(page_id), text(url), F.col(html), "refers_to").mapInArrow(run, "member binary")
+    value = members.select(F.col("member").cast("string").alias("value"))
+    # a task rolls over to a new archive, so pages are not dealt out anew
+    value.write.option("lineSep", "\0").option("maxRecordsPerFile", max(1, int(archive_bytes / (mean + 512)))).text(path)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
