@@ -1,7 +1,8 @@
 """Language-model scores: cross-entropy difference between a target and a background model.
 
 Both models are interpolated bigram models over one vocabulary, counted over all documents (background) and over
-those marked as target. The vocabulary is the `vocabulary` most frequent words of all documents plus one entry for
+the target documents: at most `target_docs` of those labelled good and not toxic, chosen by hash, so that their ids
+have a fixed bound and no text is shuffled to be marked. The vocabulary is the `vocabulary` most frequent words of all documents plus one entry for
 the rest; pairs are counted in `buckets` hashed cells, so the models have a fixed size while their counts
 grow with the corpus. Counts are added up inside each task before anything is shuffled.
 
@@ -9,8 +10,8 @@ A document's score is its mean loss per token under the target model less that u
 model; low is like the target. A document's own counts are taken out of both models before it is scored,
 so that being part of the target does not make a document look like it.
 
-Defined results: null or wordless texts have no tokens and null losses; a null or missing mark is
-not target; repeated rows are scored one by one (each still counted in the models as the other's
+Defined results: null or wordless texts have no tokens and null losses; a null id is never target, a repeated
+id is target in every row; repeated rows are scored one by one (each still counted in the models as the other's
 copy); without any target document the target model is uniform; an empty table gives no rows;
 other columns play no part.
 """
@@ -36,6 +37,7 @@ class Options:
     buckets: int = 1 << 20
     pair_weight: float = 0.6
     smoothing: float = 0.1
+    target_docs: int = 20_000
 
 
 class Models:
@@ -82,7 +84,7 @@ def pair_cells(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(a ^ (ids[1:].astype(np.uint64) + salt(5))) & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def _counted(docs: DataFrame, per_text, schema: str) -> DataFrame:
+def _counted(docs: DataFrame, targets, per_text, schema: str) -> DataFrame:
     """Sums over each task's texts of per_text(hashes, words per text, target marks) -> (keys, all, target)."""
 
     def run(iterator):
@@ -94,7 +96,7 @@ def _counted(docs: DataFrame, per_text, schema: str) -> DataFrame:
             return unique, *(np.bincount(inverse, np.concatenate([h[k] for h in held]), len(unique)) for k in (1, 2))
 
         for batch, texts in batches(iterator, BATCH_BYTES, "text"):
-            marks = np.array(batch.column(1).to_pylist(), bool)
+            marks = np.array([i in targets.value for i in batch.column(1).to_pylist()], bool)
             held.append(per_text(*word_hashes(texts), marks))
             if sum(len(h[0]) for h in held) > 2_000_000:
                 held = [merged()]
@@ -116,14 +118,16 @@ def _sent(sums: tuple):
         )
 
 
-def train(docs: DataFrame, options: Options = Options()) -> Models:
-    """Both models from docs (text, is_target)."""
+def train(docs: DataFrame, targets: frozenset, options: Options = Options(), *, text: str = "text", doc_id: str = "doc_id") -> Models:
+    """Both models from docs; targets are the ids of the target documents."""
+    docs = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    known_targets = docs.sparkSession.sparkContext.broadcast(targets)
 
     def count_words(hashes, per_text, marks):
         return hashes, np.ones(len(hashes)), np.repeat(marks, per_text).astype(float)
 
     schema = "k long, n long, t long"
-    words = _counted(docs, count_words, schema).groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    words = _counted(docs, known_targets, count_words, schema).groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     words = stored(words, "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     top = words.orderBy(F.desc("n"), "k").limit(options.vocabulary).collect()  # the vocabulary's size is the bound
@@ -143,47 +147,47 @@ def train(docs: DataFrame, options: Options = Options()) -> Models:
         cells = pair_cells(ids, options.buckets)[inside] if len(ids) > 1 else np.zeros(0, np.int64)
         return cells, np.ones(len(cells)), marks[owner[1:]][inside].astype(float) if len(ids) > 1 else np.zeros(0)
 
-    found = _counted(docs, count_pairs, schema).groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    found = _counted(docs, known_targets, count_pairs, schema).groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     pairs = np.zeros((2, options.buckets), np.float32)
     for r in found.toLocalIterator():  # at most `buckets` rows
         pairs[0, r.k], pairs[1, r.k] = r.n, r.t
     return Models(listed, single, pairs, options)
 
 
-def score(docs: DataFrame, models: Models, doc_id: str = "doc_id") -> DataFrame:
-    """Per row of docs (doc_id, text, is_target): n_tokens, losses and their difference, target less background."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # fixed by vocabulary and buckets
+def score(docs: DataFrame, models: Models, targets: frozenset, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row of docs: doc_id, n_tokens, losses and their difference, target less background."""
+    sent = docs.sparkSession.sparkContext.broadcast((models, targets))  # fixed by vocabulary, buckets and target_docs
 
     def run(iterator):
+        models, targets = sent.value
         for batch, texts in batches(iterator, BATCH_BYTES, "text"):
             hashes, per_text = word_hashes(texts)
             out, at = [], 0
-            for n, mark in zip(per_text.tolist(), batch.column(1).to_pylist(), strict=True):
-                out.append(sent.value.losses(sent.value.ids(hashes[at : at + n]), bool(mark)) if n else (None, None))
+            for n, ident in zip(per_text.tolist(), batch.column(1).to_pylist(), strict=True):
+                out.append(models.losses(models.ids(hashes[at : at + n]), ident in targets) if n else (None, None))
                 at += n
             back, target = [o[0] for o in out], [o[1] for o in out]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(2), pa.array(per_text, pa.int64()), pa.array(back, pa.float64()), pa.array(target, pa.float64()),
+                    batch.column(1), pa.array(per_text, pa.int64()), pa.array(back, pa.float64()), pa.array(target, pa.float64()),
                     pa.array([None if b is None else t - b for b, t in out], pa.float64()),
                 ],
                 names=["doc_id", "n_tokens", "background_loss", "target_loss", "difference"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select("text", "is_target", doc_id).mapInArrow(
+    return docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")).mapInArrow(
         run, f"doc_id {kind}, n_tokens long, background_loss double, target_loss double, difference double"
     )
 
 
-def marked(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(text, is_target, doc_id): target are documents labelled good and not toxic."""
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good_id")).distinct()
-    d = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
-    joined = d.join(good, d["doc_id"] == good["good_id"], "left")
-    return joined.select("text", F.col("good_id").isNotNull().alias("is_target"), "doc_id")
+def target_ids(labels: DataFrame, options: Options = Options(), doc_id: str = "doc_id") -> frozenset:
+    """Ids of at most target_docs documents labelled good and not toxic, chosen by hash."""
+    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(doc_id).dropna().distinct()
+    chosen = good.orderBy(F.xxhash64(doc_id), doc_id).limit(options.target_docs)
+    return frozenset(r[0] for r in chosen.collect())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = stored(marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "marked")
-    return score(docs, train(docs))
+    docs, targets = table(spark, sf_dir, "documents"), target_ids(table(spark, sf_dir, "labels"))
+    return score(docs, train(docs, targets), targets)

@@ -278,9 +278,10 @@ def test_suffix_arrays(t):
 def test_cross_entropy_by_hand(spark):
     texts = ["a b a c", "a b b", "c c a b d", "", None, "zz a b"]
     marks = [True, False, True, False, False, False]
-    d = spark.createDataFrame([(t, m, i) for i, (t, m) in enumerate(zip(texts, marks, strict=True))], "text string, is_target boolean, doc_id long")
+    d = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, doc_id long")
+    targets = frozenset(i for i, m in enumerate(marks) if m)
     o = crossentropy.Options(vocabulary=3, buckets=1 << 16)
-    got = {r.doc_id: r for r in crossentropy.score(d, crossentropy.train(d, o)).collect()}
+    got = {r.doc_id: r for r in crossentropy.score(d, crossentropy.train(d, targets, o), targets).collect()}
     ws = [(t or "").split() for t in texts]
     vocabulary = {"a", "b", "c"}
 
@@ -304,7 +305,7 @@ def test_cross_entropy_by_hand(spark):
     for i in (0, 1, 2, 5):
         assert got[i].background_loss == pytest.approx(loss(i, 0)) and got[i].target_loss == pytest.approx(loss(i, 1))
     assert got[3].difference is None and got[4].n_tokens == 0
-    assert crossentropy.score(empty(d), crossentropy.train(empty(d))).count() == 0
+    assert crossentropy.score(empty(d), crossentropy.train(empty(d), targets), targets).count() == 0
 
 
 # mixing --------------------------------------------------------------------------------------------
