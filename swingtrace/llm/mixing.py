@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from swingtrace.llm.common import stored, table, words
 
 RANGE_ROWS = 20_000
+SMALL_LEAVES = 100_000
 
 
 @dataclass(frozen=True)
@@ -109,6 +110,12 @@ def _order(plan: Plan, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(plan.seed)), epoch.cast("string"), doc_id.cast("string")))
 
 
+def _beside(rows: DataFrame, leaf: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with their leaf's columns. Up to SMALL_LEAVES leaves are broadcast, for a join on the leaf would
+    bring a source with a third of all rows into one task; more are joined by a shuffle, with skew splitting."""
+    return rows.join(F.broadcast(leaf) if leaf.count() <= SMALL_LEAVES else leaf, keys)
+
+
 def cuts(counted: DataFrame, plan: Plan) -> DataFrame:
     """Per leaf: whole epochs, and the last order key that the partial epoch takes (null if none)."""
     keys = ["domain", "lang", "source"]
@@ -117,7 +124,7 @@ def cuts(counted: DataFrame, plan: Plan) -> DataFrame:
     leaf = leaf.withColumn("epochs", whole).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("supply"))
     digits = F.ceil(F.log(16.0, F.greatest(F.lit(1.0), F.col("rows") / RANGE_ROWS))).cast("int")
     leaf = stored(leaf.withColumn("digits", digits), "plan")
-    rows = counted.join(leaf.filter("rest > 0").select(*keys, "epochs", "rest", "digits"), keys)
+    rows = _beside(counted, leaf.filter("rest > 0").select(*keys, "epochs", "rest", "digits"), keys)
     rows = rows.withColumn("o", _order(plan, F.col("epochs"), F.col("doc_id")))
     rows = rows.withColumn("part", F.substr("o", F.lit(1), F.col("digits")))
     sums = rows.groupBy(*keys, "part", "rest").agg(F.sum("n_tokens").alias("n"), F.max("o").alias("last"))
@@ -144,7 +151,8 @@ def mix(
     counted = stored(docs.select(docs[doc_id].alias("doc_id"), *leaf, n), "tokens")
     cut = cuts(counted, plan)
     packed = F.struct(*(docs[f"`{c}`"] for c in docs.columns if rows or c != text)).alias("row")
-    given = docs.select(packed, docs[doc_id].alias("key"), *leaf, n).join(cut, ["domain", "lang", "source"])
+    given = docs.select(packed, docs[doc_id].alias("key"), *leaf, n)
+    given = _beside(given, cut, ["domain", "lang", "source"])
     extra = F.when(_order(plan, F.col("epochs"), F.col("key")) <= F.col("cut"), 1).otherwise(0)
     return given.select("row", "domain", "lang", "source", "n_tokens", (F.col("epochs") + extra).cast("long").alias("copies")).filter("copies > 0")
 
