@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -308,6 +309,52 @@ def test_cross_entropy_by_hand(spark):
     assert crossentropy.score(empty(d), crossentropy.train(empty(d), targets), targets).count() == 0
 
 
+def test_cross_entropy_counts_every_word_and_pair(spark):
+    """More words than the former vocabulary and more pairs than the former hashed cells; a walk with exact counts."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 90_000, 30_000)) for _ in range(40)] + ["w1 w2 w3 w1 w2", "w1 w2 w3 new"]
+    d = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, doc_id long").repartition(3)
+    targets = frozenset({1, 7, 40})
+    o = crossentropy.Options()
+    got = {x.doc_id: x for x in crossentropy.score(d, crossentropy.train(d, targets), targets).collect()}
+    rows = [t.split() for t in texts]
+    v = len({w for s in rows for w in s}) + 1
+    for row, name in enumerate(("background_loss", "target_loss")):
+        held = [i for i in range(len(rows)) if row == 0 or i in targets]
+        single, pairs = Counter(w for i in held for w in rows[i]), Counter(p for i in held for p in zip(rows[i], rows[i][1:], strict=False))
+        for i in (0, 1, 40, 41):
+            own, mine = rows[i], i in held
+            one, two, starts = (Counter(x) if mine else Counter() for x in (own, zip(own, own[1:], strict=False), own[:-1]))
+            out, total = [], single.total() - one.total()
+            for k, w in enumerate(own):
+                p = (single[w] - one[w] + o.smoothing) / (total + o.smoothing * v)
+                if k:
+                    before = single[own[k - 1]] - starts[own[k - 1]]
+                    share = o.pair_weight * before / (before + 1)
+                    p = share * (pairs[own[k - 1], w] - two[own[k - 1], w]) / max(before, 1) + (1 - share) * p
+                out.append(-np.log(p))
+            assert got[i][name] == pytest.approx(float(np.mean(out)), rel=1e-9), (i, name)
+
+
+def test_cross_entropy_of_other_documents(spark, odd, monkeypatch):
+    """Documents outside the counted ones get the counts of these; blocks may be small; rows may be odd."""
+    d = spark.createDataFrame([("a b a c", 1), ("a b b", 2), ("c c a b", 3)], "text string, doc_id long")
+    models = crossentropy.train(d, frozenset({1, 2}))
+    other = spark.createDataFrame([("a b", 9), ("q", 10)], "text string, doc_id long")
+    got = {x.doc_id: x for x in crossentropy.score(other, models, frozenset()).collect()}
+    o = crossentropy.Options()
+    p = (3 + o.smoothing) / (7 + o.smoothing * 4)  # under the target nothing is taken out
+    share = o.pair_weight * 3 / 4
+    second = share * 2 / 3 + (1 - share) * p
+    assert got[9].target_loss == pytest.approx(-(np.log(p) + np.log(second)) / 2)
+    assert got[10].target_loss == pytest.approx(-np.log(o.smoothing / (7 + o.smoothing * 4)))
+    key = lambda x: (str(x.doc_id), x.n_tokens, round(x.difference or 0, 9))
+    want = sorted(map(key, crossentropy.score(odd, crossentropy.train(odd, frozenset({2})), frozenset({2})).collect()))
+    monkeypatch.setattr(crossentropy, "BLOCK_WORDS", 1)
+    assert want == sorted(map(key, crossentropy.score(odd, crossentropy.train(odd, frozenset({2})), frozenset({2})).collect()))
+    assert len(want) == odd.count()
+
+
 # mixing --------------------------------------------------------------------------------------------
 
 
