@@ -33,7 +33,8 @@ from swingtrace.llm.common import stored, table
 from swingtrace.llm.hashing import batches, mix, salt, word_hashes
 
 BATCH_BYTES = 2 << 20
-BLOCK_WORDS = 1 << 21  # a block is closed at so many words; a longer text is a block of its own
+BLOCK_WORDS = 3 << 19  # a block is closed at so many words; a longer text is a block of its own
+SCORED_WORDS = 1 << 18  # documents of a block are scored so many words at a time
 PART_KEYS = 1_500_000  # rows of one part of the key range, about
 REST = np.uint64(0)  # stands for the words outside a limited vocabulary
 WORDS, PAIRS, MARKS, SUMS = range(4)
@@ -46,7 +47,6 @@ class Options:
     buckets: int | None = None  # parts of the key range; by the number of keys where not given
     pair_weight: float = 0.6
     smoothing: float = 0.1
-    target_docs: int = 20_000
 
 
 @dataclass(frozen=True)
@@ -131,17 +131,18 @@ class Block:
     """One block with its words, the pairs in it, and which document each word is of."""
 
     def __init__(self, row: dict, listed: np.ndarray | None):
-        self.lengths, self.words, self.at = unpack(row["lengths"], np.int64), unpack_sorted(row["words"]), unpack(row["places"], np.uint32).astype(np.int64)
+        self.lengths, self.words, self.at = unpack(row["lengths"], np.int64), unpack_sorted(row["words"]), unpack(row["places"], np.uint32).view(np.int32)
         if listed is not None:
             self.words, moved = np.unique(np.where(np.isin(self.words, listed), self.words, REST), return_inverse=True)
-            self.at = moved[self.at]
-        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+            self.at = moved.astype(np.int32)[self.at]
+        self.owner = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.second = np.flatnonzero(self.owner[1:] == self.owner[:-1]) + 1  # words that have one before them
-        a, b, n = self.at[self.second - 1], self.at[self.second], max(1, len(self.words))
-        codes, pair_at = np.unique(a * n + b, return_inverse=True)
+        n = max(1, len(self.words))
+        codes, pair_at = np.unique(self.at[self.second - 1].astype(np.int64) * n + self.at[self.second], return_inverse=True)
+        pair_at = pair_at.astype(np.int32)
         keys = mix(mix(self.words[codes // n] + salt(3)) ^ (self.words[codes % n] + salt(5))) if len(codes) else np.zeros(0, np.uint64)
         self.pairs, moved = np.unique(keys, return_inverse=True)
-        self.pair_at = moved[pair_at]
+        self.pair_at = moved.astype(np.int32)[pair_at]
 
     def keys(self):
         """Kind, sorted keys, place of each occurrence among them, document of each occurrence."""
@@ -242,7 +243,7 @@ def score(docs: DataFrame, models: Models, targets, *, text: str = "text", doc_i
                 target[r["places"]] = True
             else:
                 found[r["kind"]].append((r["p"], r["n"], r["t"]))
-        sums = [[np.concatenate([np.zeros(0), *(unpack(x[c], np.int64) for x in sorted(found[k]))]) for c in (1, 2)] for k in (WORDS, PAIRS)]
+        sums = [[np.concatenate([np.zeros(0, np.int64), *(unpack(x[c], np.int64) for x in sorted(found[k]))]) for c in (1, 2)] for k in (WORDS, PAIRS)]
         n_tokens, has = block.lengths, block.lengths > 0
         back, ahead = losses(block, sums, totals, vocabulary, target, o)
         return pa.Table.from_arrays(
@@ -259,30 +260,34 @@ def score(docs: DataFrame, models: Models, targets, *, text: str = "text", doc_i
 
 def losses(block: Block, sums: list, totals, vocabulary: int, target: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray]:
     """Mean loss per token of each document under background and target, the document's own counts taken out."""
-    at, owner, second, lengths = block.at, block.owner, block.second, block.lengths
-    _, word, own = np.unique(owner * max(1, len(block.words)) + at, return_inverse=True, return_counts=True)
-    _, pair, own_pairs = np.unique(owner[second] * max(1, len(block.pairs)) + block.pair_at, return_inverse=True, return_counts=True)
-    starts = np.bincount(word[second - 1], minlength=len(own))
-    out = []
-    for row in (0, 1):
-        mine = np.ones(len(lengths)) if row == 0 else target.astype(float)
-        single, pairs = sums[0][row], sums[1][row]
-        count = np.maximum(0, single[at] - mine[owner] * own[word])
-        p = (count + o.smoothing) / (np.maximum(0.0, totals[row] - mine * lengths) + o.smoothing * vocabulary)[owner]
-        m = mine[owner[second]]
-        both = np.maximum(0, pairs[block.pair_at] - m * own_pairs[pair])
-        before = np.maximum(0, single[at[second - 1]] - m * starts[word[second - 1]])
-        share = o.pair_weight * before / (before + 1.0)
-        p[second] = share * np.minimum(1.0, both / np.maximum(before, 1.0)) + (1 - share) * p[second]
-        out.append(np.bincount(owner, -np.log(p), minlength=len(lengths)) / np.maximum(1, lengths))
+    ends, out, i = np.cumsum(block.lengths), np.zeros((2, len(block.lengths))), 0
+    while i < len(ends):
+        start = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, start + SCORED_WORDS, side="right")))
+        x, y = np.searchsorted(block.second, (start, ends[j - 1]))
+        at, owner, lengths = block.at[start : ends[j - 1]], block.owner[start : ends[j - 1]] - np.int64(i), block.lengths[i:j]
+        second, pair_at = block.second[x:y] - start, block.pair_at[x:y]
+        _, word, own = np.unique(owner * max(1, len(block.words)) + at, return_inverse=True, return_counts=True)
+        _, pair, own_pairs = np.unique(owner[second] * max(1, len(block.pairs)) + pair_at, return_inverse=True, return_counts=True)
+        starts = np.bincount(word[second - 1], minlength=len(own))
+        for row in (0, 1):
+            mine = np.ones(j - i) if row == 0 else target[i:j].astype(float)
+            single, pairs = sums[0][row], sums[1][row]
+            count = np.maximum(0, single[at] - mine[owner] * own[word])
+            p = (count + o.smoothing) / (np.maximum(0.0, totals[row] - mine * lengths) + o.smoothing * vocabulary)[owner]
+            m = mine[owner[second]]
+            both = np.maximum(0, pairs[pair_at] - m * own_pairs[pair])
+            before = np.maximum(0, single[at[second - 1]] - m * starts[word[second - 1]])
+            share = o.pair_weight * before / (before + 1.0)
+            p[second] = share * np.minimum(1.0, both / np.maximum(before, 1.0)) + (1 - share) * p[second]
+            out[row, i:j] = np.bincount(owner, -np.log(p), minlength=j - i) / np.maximum(1, lengths)
+        i = j
     return out[0], out[1]
 
 
-def target_ids(labels: DataFrame, options: Options = Options(), doc_id: str = "doc_id") -> frozenset:
-    """Ids of at most target_docs documents labelled good and not toxic, chosen by hash."""
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(doc_id).dropna().distinct()
-    chosen = good.orderBy(F.xxhash64(doc_id), doc_id).limit(options.target_docs)
-    return frozenset(r[0] for r in chosen.collect())
+def target_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Ids of all documents labelled good and not toxic."""
+    return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(doc_id).dropna().distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,6 +355,17 @@ def test_cross_entropy_of_other_documents(spark, odd, monkeypatch):
     assert len(want) == odd.count()
 
 
+def test_cross_entropy_takes_every_good_label(spark):
+    """With every document a target, both models are the same; so they were not with at most 20,000."""
+    d = spark.range(21_000).selectExpr("id AS doc_id", "concat('a b', id % 7) AS text")
+    labels = d.selectExpr("doc_id", "1 AS quality", "IF(doc_id % 2 = 0, 0, NULL) AS toxic")
+    targets = crossentropy.target_ids(labels.unionAll(labels))
+    got = crossentropy.score(d, crossentropy.train(d, targets), targets)
+    assert got.filter("abs(difference) < 1e-12").count() == 21_000
+    bad = labels.selectExpr("doc_id", "quality", "1 AS toxic").unionAll(labels.selectExpr("doc_id", "0", "0"))
+    assert crossentropy.target_ids(bad).count() == 0
+
+
 # mixing --------------------------------------------------------------------------------------------
 
 
