@@ -234,6 +234,32 @@ def test_secrets_held_out_and_odd(spark, odd):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty(odd)).count() == 0
 
 
+def test_secrets_threshold_keeps_recall():
+    """Positives that score under one half count too."""
+    net = secrets.Network(1)
+    net.raw = lambda codes: codes[:, 0].astype(float)
+    codes = np.zeros((1000, secrets.WIDTH), np.int64)
+    codes[:40, 0], codes[40:50, 0] = 6, -6
+    codes[50:, 0] = -5
+    y = np.array([1.0] * 50 + [0.0] * 950)
+    net.calibrate(codes, y, 0.995)
+    assert (net.score(codes[y > 0]) >= net.threshold).mean() >= 0.995 and net.threshold < 0.5
+    assert net.precision == pytest.approx(0.05)
+
+
+def test_secrets_reads_the_middle_of_long_candidates():
+    """Every character of a long candidate is seen, whatever its place."""
+    for n in (33, 48, 49, 100):
+        for place in range(n):
+            text = "see " + "a" * place + "=" + "a" * (n - place - 1) + " now"
+            seen = np.concatenate(list(secrets.views(text, 4, 4 + n)))[:, secrets.SIDE : secrets.SIDE + secrets.BODY]
+            assert (seen == secrets.CLASS[ord("=")]).any()
+    net = secrets.Network(1)
+    net.score = lambda codes: (codes == secrets.CLASS[ord("=")]).any(axis=1).astype(float)
+    texts = ["x" * 40 + "=" + "x" * 40, "x" * 81]
+    assert secrets.judged(net, texts, [[(0, 81)], [(0, 81)]], most=2).tolist() == [1.0, 0.0]
+
+
 # repeats -------------------------------------------------------------------------------------------
 
 
