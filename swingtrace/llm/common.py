@@ -43,3 +43,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def first_texts(texts: DataFrame, n: int) -> DataFrame:
+    """The n distinct values of the only column with the smallest hashes, in their order; copies of a value count once."""
+    keyed = texts.toDF("value").select(F.xxhash64("value").alias("hash"), "value")
+    last = keyed.select("hash").distinct().orderBy("hash").limit(n).agg(F.max("hash")).first()[0]
+    found = keyed.filter(F.col("hash") <= F.lit(last).cast("long")).groupBy("hash").agg(F.min("value").alias("value"))
+    return found.orderBy("hash").limit(n).select(F.col("value").alias(texts.columns[0]))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swingtrace.llm.common import table
+from swingtrace.llm.common import first_texts, table
 from swingtrace.llm.recurrent import BiLstm
 
 TAG = re.compile(
@@ -191,9 +191,9 @@ def variant(page: list, rng: random.Random) -> list:
 
 
 def train(pages: DataFrame, html: str = "html", options: Options = Options()) -> BiLstm:
-    """A network fitted to a bounded, repeatable choice of pages and their variants."""
+    """A network fitted to a bounded, repeatable choice of distinct pages and their variants."""
     h = F.col(html)
-    chosen = pages.select(h.alias("h")).filter(h.isNotNull()).orderBy(F.xxhash64("h"), "h").limit(options.train_pages)
+    chosen = first_texts(pages.select(h.alias("h")).filter(h.isNotNull()), options.train_pages)
     names, words, rng = _Hashed(PATH), _Hashed(WORDS), random.Random(options.seed)
     sequences = []
     parsed = [page for page in (blocks(r.h) for r in chosen.toLocalIterator()) if page]

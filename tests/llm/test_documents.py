@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swingtrace.llm import contamination, crossentropy, mixing, nearcopies, private, quality, repeats, secrets
-from swingtrace.llm.common import table
+from swingtrace.llm.common import first_texts, table
 from swingtrace.llm.suffixes import common_prefixes, suffix_array
 
 from .conftest import cut_by_hand, same
@@ -260,6 +260,21 @@ def test_secrets_reads_the_middle_of_long_candidates():
     assert secrets.judged(net, texts, [[(0, 81)], [(0, 81)]], most=2).tolist() == [1.0, 0.0]
 
 
+def test_training_texts_are_distinct(spark):
+    """Copies do not fill the choice of training rows."""
+    texts = [f"t{i}" for i in range(50)]
+    first = spark.createDataFrame([(t,) for t in texts], "t string").orderBy(F.xxhash64("t")).first()[0]
+    d = spark.createDataFrame([(t,) for t in texts + [first] * 500], "t string")
+    got = [r.t for r in first_texts(d, 20).collect()]
+    assert len(got) == len(set(got)) == 20 and got[0] == first
+    assert [r.h for r in first_texts(d.toDF("h"), 20).collect()] == [r.t for r in first_texts(d.toDF("t"), 20).collect()]
+    assert first_texts(d, 99).count() == 50 and first_texts(empty(d), 5).count() == 0
+    hinted = spark.createDataFrame([(f"password = abcdefghijkl{i:03d}xyz and some {i} words",) for i in range(6)], "text string")
+    copied = hinted.unionAll(hinted.orderBy(F.xxhash64("text")).limit(1).crossJoin(spark.range(40)).select("text"))
+    some = secrets.Options(train_docs=4)
+    assert all((a == b).all() for a, b in zip(secrets.labelled(hinted, "text", some), secrets.labelled(copied, "text", some), strict=True))
+
+
 # repeats -------------------------------------------------------------------------------------------
 
 
