@@ -42,7 +42,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote and nothing reads any more; other frames are left alone."""
+    for df in tables:
+        if at := getattr(df, "stored_at", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def first_texts(texts: DataFrame, n: int) -> DataFrame:

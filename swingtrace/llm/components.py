@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swingtrace.llm.common import stored
+from swingtrace.llm.common import discard, stored
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Edges (a, b), a > b: each node's neighbours are tied to the least of them and the node."""
+def _star(edges: DataFrame, small: bool, made: list[DataFrame]) -> DataFrame:
+    """Edges (a, b), a > b: each node's neighbours are tied to the least of them and the node. Stored tables go to `made`."""
     if small:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     else:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a"))
     least = stored(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+    made.append(least)
     tied = near.join(least, "u")
     if small:
         out = tied.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u"), F.col("m")))
@@ -35,7 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
     check = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     was = check(now)
     while was[0]:
-        now = stored(_star(_star(now, small=False), small=True), "edges")
+        made = [now]
+        now = stored(_star(_star(now, small=False, made=made), small=True, made=made), "edges")
+        discard(*made)
         seen = check(now)
         if seen == was:
             break

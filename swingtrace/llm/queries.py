@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from swingtrace.llm import archives, contamination, crossentropy, mixing, nearcopies, pagetext, private, quality, repeats, secrets
+from swingtrace.llm import (
+    archives,
+    contamination,
+    crossentropy,
+    mixing,
+    nearcopies,
+    pagetext,
+    periodic,
+    prefixjoin,
+    private,
+    quality,
+    repeats,
+    secrets,
+    vectorcodes,
+)
 
 QUERIES = {
     "op1_page_text": pagetext.query,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_quality": quality.query,
     "op10_secrets": secrets.query,
+    "op11_prefix_join": prefixjoin.query,
+    "op12_periodic_runs": periodic.query,
+    "op13_vector_codes": vectorcodes.query,
 }
 
 ORACLE = {
@@ -22,4 +39,6 @@ ORACLE = {
     "op5_contamination": contamination.sql(),
     "op8_mixing": mixing.sql(),
     "op9_quality": quality.sql(),
+    "op11_prefix_join": prefixjoin.sql(),
+    "op13_vector_codes": vectorcodes.sql(),
 }
