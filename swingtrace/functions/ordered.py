@@ -39,3 +39,16 @@ def last_before(
     carry = slices.withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier))
     joined = near.join(carry.select(*by_slice, "_carry"), by_slice, "left")
     return joined.withColumn(name, F.coalesce("_near", "_carry")).drop("_v", "_near", "_carry")
+
+
+def most_before(
+    rows: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[str | Column], value: Column, name: str
+) -> DataFrame:
+    """Adds ``name``: the greatest ``value`` of the rows before each row within its keys."""
+    by_slice = [*keys, slice_col]
+    before = Window.partitionBy(*by_slice).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumn("_near", F.max(value).over(before))
+    earlier = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy(*by_slice).agg(F.max(value).alias("_most")).withColumn("_carry", F.max("_most").over(earlier))
+    joined = near.join(slices.select(*by_slice, "_carry"), by_slice, "left")
+    return joined.withColumn(name, F.greatest("_near", "_carry")).drop("_near", "_carry")

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swingtrace.functions.ordered import last_before
+from swingtrace.functions.quantiles import quantiles
 from swingtrace.schema import (
     LOG_ATTRIBUTE_PREFIX,
     LOG_ATTRIBUTES,
     LOG_COLUMNS,
     TRACE_COLUMNS,
 )
+from swingtrace.sources.store import materialize
 
 STEP_GAP = "INTERVAL 3 MINUTES"
 
@@ -91,19 +93,15 @@ def span_health(
     for p in prefixes:
         named = named | F.col("SpanName").like(p)
     rows = spans.filter((F.col("Timestamp") >= since) & named)
-    # equal durations are counted first, so a hot span name is reduced before it is shuffled
-    weights = rows.groupBy("SpanName", "Duration", "StatusCode").agg(F.count(F.lit(1)).alias("n"))
-    p50, p95 = (
-        F.round(F.expr(f"percentile(Duration, {p}, n)") / 1e6, 1) for p in (0.5, 0.95)
-    )
-    health = weights.groupBy(F.col("SpanName").alias("span_name")).agg(
-        F.sum("n").alias("calls"),
-        p50.alias("p50_ms"),
-        p95.alias("p95_ms"),
-        F.coalesce(F.sum(F.when(F.col("StatusCode") == "Error", F.col("n"))), F.lit(0)).alias(
-            "errors"
-        ),
-    )
+    # calls are counted first: only the spans that are shown need their durations ranked
+    calls = rows.groupBy("SpanName").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("StatusCode") == "Error").alias("errors")
+    )
+    shown = materialize(calls.orderBy(F.desc("calls"), "SpanName").limit(limit), "spans")
+    of_shown = rows.join(shown.select("SpanName"), "SpanName", "left_semi")
+    durations = quantiles(of_shown, ["SpanName"], "Duration", {"p50": 0.5, "p95": 0.95})
+    ms = lambda c: F.round(F.col(c) / 1e6, 1).alias(f"{c}_ms")
+    health = shown.join(durations, "SpanName").select(F.col("SpanName").alias("span_name"), "calls", ms("p50"), ms("p95"), "errors")
     return health.orderBy(F.desc("calls"), "span_name").limit(limit)
 
 

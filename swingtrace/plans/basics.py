@@ -14,6 +14,7 @@ from swingtrace.functions.metrics import (
     QueryError,
     check_dimension,
 )
+from swingtrace.functions.quantiles import quantiles
 from swingtrace.operators import baseline as B
 from swingtrace.operators import query as Q
 from swingtrace.operators import rollup as R
@@ -480,12 +481,7 @@ def agg_share(spark, sf):
 )
 def agg_quantiles(spark, sf):
     rows = A.table(spark, sf, "events")
-    # equal values are counted first, so a hot type is reduced before it is shuffled
-    counted = rows.groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("event_type").agg(
-        rnd(F.expr("percentile(value, 0.5, n)")).alias("p50"),
-        rnd(F.expr("percentile(value, 0.95, n)")).alias("p95"),
-    )
+    return rounded(quantiles(rows, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}), p50=6, p95=6)
 
 
 _CELL_SUMMARY = f"""SELECT dim, count(*)::BIGINT AS n_cells, sum(events)::BIGINT AS events,

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from swingtrace.plans import ORACLE, QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -15,9 +16,10 @@ TABLES = (
 QUICK = (
     "flagship enrich_star filter_scope agg_fan_out q_compare q_rank q_weekly_growth rollup_daily "
     "d_platform_scan d_cluster_windows i_decompose i_localize i_classify g_grounding w_match "
-    "v_rollup_parity t_kv_rollup_15m t_step_attribution s_late_days s_kv_15m s_watch"
+    "v_rollup_parity t_kv_rollup_15m t_step_attribution agg_quantiles t_span_health s_rollup_hourly "
+    "s_rollup_daily s_late_days s_kv_15m s_step_sessions s_watch"
 ).split()
-KEYS = list(entry.queries()) if os.environ.get("SWINGTRACE_ALL") else QUICK
+KEYS = list(QUERIES) if os.environ.get("SWINGTRACE_ALL") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -48,5 +50,6 @@ def test_query_equals_its_sql(spark, sf, duck, key):
 
 
 def test_every_query_has_sql_and_the_entry_runs(spark):
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0

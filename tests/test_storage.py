@@ -203,7 +203,7 @@ def test_a_second_stream_run_counts_nothing_twice(spark, sf, tmp_path):
     files, fact, hourly, daily = (str(tmp_path / n) for n in ("in", "fact", "h", "d"))
     events = star.fact.select("event_time", "app_id", "geo_device_id", "advertiser_id", "ad_format", "is_filled", "is_impression", "is_click", "revenue")
     early = events.filter("event_time < '2026-06-20'")
-    total = lambda: ingest.read_daily(spark, daily).filter("dim = 'ad_format'").agg(F.sum("events")).first()[0]
+    total = lambda: R.daily_table(spark, daily).read().filter("dim = 'ad_format'").agg(F.sum("events")).first()[0]
     early.repartition(2).write.parquet(files)
     for _ in range(2):
         R.run_rollups(R.read_events(spark, files, 1), star, hourly, daily, fact)
