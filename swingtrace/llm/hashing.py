@@ -59,10 +59,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, per_text
 
 
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """Per text the sorted distinct hashes of its k-word shingles; fewer words make one shingle, none make none."""
+def shingle_places(texts: list[bytes], k: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Hashes of all words; per text the sorted distinct hashes of its k-word shingles; and the word at which each first stands.
+
+    Fewer words make one shingle, none make none.
+    """
     hashes, per_text = word_hashes(texts)
-    out, at = [], 0
+    sets, places, at = [], [], 0
     n = len(hashes) - k + 1
     rolled = np.zeros(max(0, n), np.uint64)
     with np.errstate(over="ignore"):
@@ -71,14 +74,22 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
         rolled = mix(rolled)
         for count in per_text.tolist():
             if count >= k:
-                out.append(np.unique(rolled[at : at + count - k + 1]))
+                own, first = np.unique(rolled[at : at + count - k + 1], return_index=True)
             elif count:
-                own = hashes[at : at + count]
-                out.append(mix((mix(own + np.arange(1, count + 1, dtype=np.uint64) * GOLDEN)).sum(keepdims=True) ^ np.uint64(count)))
+                all_words = hashes[at : at + count]
+                own = mix((mix(all_words + np.arange(1, count + 1, dtype=np.uint64) * GOLDEN)).sum(keepdims=True) ^ np.uint64(count))
+                first = np.zeros(1, np.int64)
             else:
-                out.append(np.zeros(0, np.uint64))
+                own, first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            sets.append(own)
+            places.append(first + at)
             at += count
-    return out
+    return hashes, sets, places
+
+
+def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Per text the sorted distinct hashes of its k-word shingles."""
+    return shingle_places(texts, k)[1]
 
 
 def set_key(values: np.ndarray) -> bytes:

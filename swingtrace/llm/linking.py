@@ -3,11 +3,12 @@
 Both similarity operators put every class (a distinct set) into buckets such that two linked classes share one. Comparing all
 pairs of a bucket is quadratic in a group of near copies, though nearly all of them end in one component. So:
 
-1. In a leader round every class is compared with at most one other: the best leader of its buckets outside its own component. In the first
-   round the best leader is the class with most shared buckets (the text the others were derived from), later a random one.
+1. In a leader round every class is compared with a fixed number of others: of the leaders of its buckets outside its own component, those which it
+   meets most often. In the first round the class with most shared buckets leads (the text the others were derived from), later random ones.
 2. Buckets whose classes all lie in one component are left out from then on.
 3. After the rounds every pair across components that shares a bucket is compared, no matter how many there are: the rows outside
-   a bucket's largest component against the rows of the bucket. No pair is given up.
+   a bucket's largest component against the rows of the bucket. For this pass the buckets may be exchanged for narrower ones that are exact as
+   well: the rarest shingles of the classes left (rarest()). A group's outliers share few of those. No pair is given up.
 
 Hot buckets are aggregated before they move and split by the skew join; each round's tables are written to the shared
 folder and deleted once the next round's are there.
@@ -27,6 +28,7 @@ from swingtrace.llm.components import components
 from swingtrace.llm.hashing import batches, set_key, shingle_sets
 
 BATCH_BYTES = 1 << 21
+LEADERS = 8  # of a bucket, and tried by a class, in each round but the first
 
 #: Decides pairs: takes (a, b), returns those that are linked.
 Verify = Callable[[DataFrame], DataFrame]
@@ -51,16 +53,31 @@ def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(placed: DataFrame, turn: int, fits: Fits) -> DataFrame:
-    """(a, b): each class with the best leader of its buckets that lies outside its component."""
-    rank = F.struct((-F.col("degree")).alias("d"), "key") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)).alias("d"), "key")
+    """(a, b): each class with the leaders outside its component that it meets in most of its buckets.
+
+    The same classes lead wherever they are, so a leader met in many buckets shares much with the class.
+    """
+    if turn == 0:
+        ranks = [F.struct((-F.col("degree")).alias("d"), "key")]
+    else:
+        ranks = [F.struct(F.xxhash64("key", F.lit(LEADERS * turn + j)).alias("d"), "key") for j in range(LEADERS)]
     leads = placed.groupBy("bucket").agg(
-        F.min(F.struct(rank.alias("rank"), "label", "n", "pos")).alias("l"), F.min("label").alias("x"), F.max("label").alias("y")
+        *(F.min(F.struct(r.alias("rank"), "label", "n", "pos")).alias(f"l{j}") for j, r in enumerate(ranks)),
+        F.min("label").alias("x"), F.max("label").alias("y"),
+    )
+    leads = leads.filter("x <> y").select("bucket", *(f"l{j}" for j in range(len(ranks))))
+    met = placed.join(leads, "bucket")
+    tried = [
+        F.when((F.col("label") != F.col(f"l{j}.label")) & fits(F.col("n"), F.col("pos"), F.col(f"l{j}.n"), F.col(f"l{j}.pos")), F.col(f"l{j}.rank.key"))
+        for j in range(len(ranks))
+    ]
+    own = met.select("key", F.explode(F.array_distinct(F.array_compact(F.array(*tried)))).alias("leader")) if turn else (
+        met.select("key", tried[0].alias("leader")).filter("leader IS NOT NULL")
     )
-    leads = leads.filter("x <> y").select("bucket", "l")
-    own = placed.join(leads, "bucket").filter(F.col("label") != F.col("l.label"))
-    own = own.filter(fits(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos")))
-    best = own.groupBy("key").agg(F.min("l.rank").alias("rank"))
-    return best.select(F.col("key").alias("a"), F.col("rank.key").alias("b"))
+    often = own.groupBy("key", "leader").agg(F.count(F.lit(1)).alias("often"))
+    best = often.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("often", "leader")), asc=False).alias("best"))
+    first = F.slice("best", 1, LEADERS if turn else 1)
+    return best.select(F.col("key").alias("a"), F.explode(first).alias("best")).select("a", F.col("best.leader").alias("b"))
 
 
 def _open_rows(placed: DataFrame) -> DataFrame:
@@ -82,9 +99,38 @@ def _pairs_across(opened: DataFrame, fits: Fits) -> DataFrame:
     return both.select("a", "b").distinct()
 
 
-def link(mates: DataFrame, verify: Verify, fits: Fits, rounds: int = 4) -> DataFrame:
+def each_shingle(sets: DataFrame) -> DataFrame:
+    """(key, n, shingle): a row for each shingle of sets (key, n, shingles)."""
+
+    def run(iterator):
+        for batch in iterator:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                shingles = [np.frombuffer(b, np.int64) for b in part.column(2).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(shingles)), [len(x) for x in shingles]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(of), part.column(1).take(of), pa.array(np.concatenate(shingles))], names=["key", "n", "shingle"]
+                )
+
+    return sets.select("key", "n", "shingles").mapInArrow(run, "key binary, n long, shingle long")
+
+
+def rarest(rows: DataFrame, pct: int) -> DataFrame:
+    """(bucket, key, n, pos): of rows (key, n, shingle) the rarest of each class, of which two linked classes share one.
+
+    The places are those under one order of all shingles, rare ones first; shingles of one class alone are left out.
+    """
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    ordered = rows.join(often, "shingle").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    length = (F.col("n") - F.ceil(F.col("n") * pct / 100) + 1).cast("int")
+    placed = ordered.select("key", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("pos", "s")).filter("s.often > 1")
+    return placed.select(F.xxhash64(F.lit("rare"), "s.shingle").alias("bucket"), "key", "n", F.col("pos").cast("long").alias("pos"))
+
+
+def link(mates: DataFrame, verify: Verify, fits: Fits, rounds: int, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, label) of all classes in `mates` (bucket, key, n, pos): equal labels are linked, directly or through others.
 
+    Before all pairs across components are compared, `narrow` may give the classes left (key) narrower buckets.
     `mates` is a stored table; it is deleted here.
     """
     nodes = stored(mates.groupBy("key").agg(F.count(F.lit(1)).alias("degree")).withColumn("label", F.col("key")), "nodes")
@@ -99,6 +145,11 @@ def link(mates: DataFrame, verify: Verify, fits: Fits, rounds: int = 4) -> DataF
                 break
         else:
             rows = placed  # every bucket holds several classes, and each class is a component of its own
+        if turn == rounds and narrow:
+            placed = stored(narrow(rows.select("key").distinct()).join(nodes, "key"), "narrow")
+            discard(rows)
+            rows = stored(_open_rows(placed), "open")
+            discard(placed)
         pairs = _pairs_across(rows, fits) if turn == rounds else _leader_pairs(rows, turn, fits)
         pairs = stored(pairs, "pairs")
         links = stored(verify(pairs), "links")

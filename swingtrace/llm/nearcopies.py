@@ -2,20 +2,20 @@
 
 1. Each text becomes its set of k-word shingles, a 128-bit key of that set and 256 registers.
 2. Rows with the same set are one class; only classes go on, so exact copies cost one row each.
-3. Registers are cut into 51 bands of five. At a similarity of 0.75 all bands differ with a probability
-   of 0.763^51 = 1e-6.
-4. At first every class of a bucket is compared with one leader of the bucket. Links found join classes, and only
-   buckets that still hold several components go to the next pass: where few pairs across components are
-   left (`few_pairs` a row), all of them are compared, else every class is compared with two other leaders.
-   After `passes` passes all pairs across components are compared: no pair is given up.
-5. Candidates are pruned by set sizes (exact) and by the likelihood estimate, with six standard errors
-   of room; the rest are verified on the full sets.
+3. Registers are cut into 51 bands of five; classes with an equal band share a bucket. At a similarity of 0.75 independent
+   registers would all differ in all bands with a probability of 0.763^51 = 1e-6. Registers of a small set depend on each other, so
+   classes of at most SMALL shingles have further buckets, which are exact: the rarest of their shingles, as many as any set that
+   reaches the similarity must share one of.
+4. linking.link() compares each class with some leaders of its buckets a round, then all pairs across components that share
+   one of the rarest shingles of the classes still in buckets of several components.
+5. Candidates are pruned by set sizes (exact) and by the likelihood estimate, with six standard errors of room; the rest are verified on the
+   full sets, which are read from the texts once.
 6. Components are found by star contractions. Nothing is collected but counts.
 
-Defined results: null or wordless texts have no shingles and stay alone with their own id; rows with
-the same id and text form one class, and each is `kept` (deduplicate() leaves one of them); rows
-with a null id take part, and their class is named by the least id that is not null; empty tables
-give empty results; other columns play no part.
+Defined results: null or wordless texts have no shingles and stay alone with their own id; rows with the same id and text form one
+class, and each is `kept` (deduplicate() leaves one of them); rows with a null id take part, and their class is named by the least id
+that is not null; empty tables give empty results; other columns play no part. Very long texts: a task holds the sets of a batch
+of 2 MB of text or of one longer text, at about 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -25,19 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swingtrace.llm.common import SPACES, stored, table
-from swingtrace.llm.components import components
+from swingtrace.llm.common import SPACES, discard, stored, table
 from swingtrace.llm.hashing import batches, set_key, shingle_sets
+from swingtrace.llm.linking import BATCH_BYTES, class_sets, each_shingle, fits, link, rarest, share, shared_buckets, with_components
 from swingtrace.llm.setsketch import REGISTERS, similarity, sketches
 
 BAND = 5
-BATCH_BYTES = 1 << 21
-LEADERS = 2
+SMALL = 43  # a set of 32 shingles can reach 0.75 with one of 42
 MARGIN = 0.17  # six standard errors of the estimate at 256 registers
 
 
 def prints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, key, registers) for every row."""
+    """(doc_id, text_hash, n_shingles, key, registers, few) for every row; few: the shingles of sets of at most SMALL."""
 
     def run(iterator):
         for batch, texts in batches(iterator, BATCH_BYTES):
@@ -50,142 +49,54 @@ def prints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: in
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([r.tobytes() if len(s) else None for s, r in zip(sets, regs, strict=True)], pa.binary()),
+                    pa.array([s.view(np.int64) if 0 < len(s) <= SMALL else None for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_hash", "n_shingles", "key", "registers"],
+                names=["doc_id", "text_hash", "n_shingles", "key", "registers", "few"],
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, key binary, registers binary")
+    told = f"doc_id {kind}, text_hash long, n_shingles long, key binary, registers binary, few array<long>"
+    return rows.mapInArrow(run, told)
 
 
-def _estimated(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Pairs (a, b) of keys whose sizes allow the similarity and whose sketches do not speak against it."""
-    least = pct / 100 - MARGIN
-
-    def run(iterator):
-        for batch in iterator:
-            cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            if not batch.num_rows:
-                continue
-            ra, rb = (
-                np.frombuffer(b"".join(cols[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb")
-            )
-            na, nb = (cols[c].to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
-            good = np.concatenate(
-                [
-                    similarity(ra[i : i + 2000], rb[i : i + 2000], na[i : i + 2000], nb[i : i + 2000]) >= least
-                    for i in range(0, batch.num_rows, 2000)
-                ]
-            )
-            yield pa.RecordBatch.from_arrays([cols["a"], cols["b"]], names=["a", "b"]).filter(pa.array(good))
-
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")
+def bands(sets: DataFrame) -> DataFrame:
+    """(bucket, key, n, pos): a row for each band of a class's registers."""
+    each = F.transform(
+        F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)),
+        lambda i: F.xxhash64(i, F.substring("registers", i * (2 * BAND) + 1, F.lit(2 * BAND))),
     )
-    return sized.mapInArrow(run, "a binary, b binary")
-
+    return sets.select(F.explode(each).alias("bucket"), "key", F.col("n_shingles").alias("n"), F.lit(0).cast("long").alias("pos"))
 
-def _full_sets(docs: DataFrame, needed: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
-    """(key, shingles) of the keys needed, each read from the text of one row that has it."""
 
-    def run(iterator):
-        for batch, texts in batches(iterator, BATCH_BYTES):
-            sets = shingle_sets(texts, k)
-            keys = [set_key(s) for s in sets]
-            wanted = batch.column(0).to_pylist()
-            rows = [(key, s.tobytes()) for key, s, w in zip(keys, sets, wanted, strict=True) if key == w]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                names=["key", "shingles"],
-            )
-
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = needed.join(texts, needed["rep"].eqNullSafe(texts["doc_id"])).select("key", "text")
-    return found.mapInArrow(run, "key binary, shingles binary").groupBy("key").agg(F.max("shingles").alias("shingles"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, pct: int, text: str, doc_id: str, k: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
+def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The pairs whose sketches do not speak against the similarity and whose full sets reach it."""
+    least = pct / 100 - MARGIN
 
     def run(iterator):
         for batch in iterator:
-            a, b, sa, sb = (c.to_pylist() for c in batch.columns)
-            good = []
-            for x, y in zip(sa, sb, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= pct * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    full = stored(_full_sets(docs, ends.join(sets.select("key", "rep"), "key"), text, doc_id, k), "shingles")
-    side = lambda c: full.select(F.col("key").alias(c), F.col("shingles").alias(f"s{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, "a binary, b binary")
-
-
-def _label(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """rows (key, ...) with the label of their component; the key itself where it has none yet."""
-    if labels is None:
-        return rows.withColumn("label", F.col("key"))
-    return rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-
-
-def links(
-    docs: DataFrame, sets: DataFrame, *, text: str, doc_id: str, k: int, pct: int, few_pairs: int, passes: int
-) -> DataFrame | None:
-    """(node, label) of all linked classes; None if there are no links."""
-    bands = sets.select(
-        "key", "n_shingles",
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)),
-                        lambda i: F.xxhash64(i, F.substring("registers", i * (2 * BAND) + 1, F.lit(2 * BAND))))
-        ).alias("bucket"),
-    )
-    shared = stored(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "buckets")
-    mates = stored(bands.join(shared, "bucket"), "mates")
-    fits = lambda x, y: 100 * F.least(x, y) >= pct * F.greatest(x, y)
-    edges, labels = None, None
-    for turn in range(passes + 1):
-        placed = _label(mates, labels)
-        last = turn == passes
-        leads = {
-            f"l{j}": F.min(F.struct(F.xxhash64("key", F.lit(LEADERS * turn + j)).alias("o"), "key", "label", "n_shingles"))
-            for j in range(LEADERS if turn else 1)
-        }
-        sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in leads.items()))
-        sizes = sizes.groupBy("bucket").agg(
-            F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("labels"),
-            *(F.min(k).alias(k) for k in leads),
-        ).filter("labels > 1")
-        across = F.col("rows") * F.col("rows") - F.col("squares")  # twice the pairs of different components
-        few = (F.col("rows") == 2) | (F.lit(turn > 0) & (across <= 2 * few_pairs * F.col("rows"))) | F.lit(last)
-        sizes = stored(sizes.select("bucket", few.alias("few"), F.array_distinct(F.array(*leads)).alias("leaders")), "open")
-        still = placed.join(sizes, "bucket")
-        near = still.filter("few").select("bucket", "key", "label", "n_shingles")
-        other = near.select("bucket", F.col("key").alias("b"), F.col("label").alias("other"), F.col("n_shingles").alias("m"))
-        all_pairs = near.join(other, "bucket").filter(
-            (F.col("key") < F.col("b")) & (F.col("label") != F.col("other")) & fits(F.col("n_shingles"), F.col("m"))
-        )
-        to_leader = still.filter(~F.col("few")).select("key", "label", "n_shingles", F.explode("leaders").alias("l"))
-        to_leader = to_leader.filter((F.col("label") != F.col("l.label")) & fits(F.col("n_shingles"), F.col("l.n_shingles")))
-        pairs = all_pairs.select(F.col("key").alias("a"), "b").unionAll(
-            to_leader.select(F.least("key", "l.key").alias("a"), F.greatest("key", "l.key").alias("b"))
-        )
-        likely = stored(_estimated(pairs.distinct(), sets, pct), "likely")
-        found = stored(_verified(likely, sets, docs, pct, text, doc_id, k), "links")
-        edges = found if edges is None else edges.unionAll(found)
-        labels = stored(components(edges), "labels")
-        if last or not sizes.filter("not few").limit(1).count():
-            break
-        mates = stored(mates.join(sizes.filter("not few").select("bucket"), "bucket"), "mates")
-    return labels
+            good = np.zeros(batch.num_rows, bool)
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
+            for at in range(0, batch.num_rows, 2000):
+                part, rows = batch.slice(at, 2000), slice(at, at + 2000)
+                ra, rb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+                good[rows] = similarity(ra, rb, na[rows], nb[rows]) >= least
+            likely = batch.filter(pa.array(good))
+            sure = [
+                share(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), pct)
+                for x, y in zip(likely.column("sa").to_pylist(), likely.column("sb").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([likely.column("a"), likely.column("b")], names=["a", "b"]).filter(pa.array(sure, pa.bool_()))
+
+    side = lambda c: sets.select(
+        F.col("key").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"), F.col("shingles").alias(f"s{c}")
+    )
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "na", "nb", "ra", "rb", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def near_copies(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, pct: int = 75, few_pairs: int = 2, passes: int = 8
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, pct: int = 75, rounds: int = 3
 ) -> DataFrame:
     """Per row of docs: doc_id, text_hash, n_shingles, component_id, kept."""
     found = stored(prints(docs, text=text, doc_id=doc_id, k=k), "prints")
@@ -193,20 +104,23 @@ def near_copies(
         found.filter("n_shingles > 0")
         .groupBy("key")
         .agg(
-            F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"),
-            F.count("*").alias("copies"), F.count("doc_id").alias("named"),
+            F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n_shingles"),
+            F.first("registers").alias("registers"), F.first("few").alias("few"),
         ),
         "sets",
     )
-    labels = links(docs, sets, text=text, doc_id=doc_id, k=k, pct=pct, few_pairs=few_pairs, passes=passes)
-    classes = _label(sets.select("key", "rep", "copies"), labels)
-    named = classes.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
-    groups = stored(classes.join(named.filter("members > 1"), "label").select("key", "component_id"), "groups")
-    rows = found.select("doc_id", "text_hash", "n_shingles", "key").join(groups, "key", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    small = sets.filter("few IS NOT NULL").select("key", F.col("n_shingles").alias("n"), F.explode("few").alias("shingle"))
+    mates = shared_buckets(bands(sets).unionAll(rarest(small, pct)))
+    mated = stored(sets.join(mates.select("key").distinct(), "key").select("key", "rep", "n_shingles", "registers"), "mated")
+    discard(sets)
+    full = stored(mated.drop("rep").join(class_sets(docs, mated.select("key", "rep"), text, doc_id, k), "key"), "full")
+    discard(mated)
+    by_key = full.select("key", F.col("n_shingles").alias("n"), "shingles")
+    narrow = lambda left: rarest(each_shingle(by_key.join(left, "key")), pct)
+    labels = link(mates, lambda pairs: _verified(pairs, full, pct), fits(pct), rounds, narrow)
+    out = with_components(found, labels)
+    discard(full)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

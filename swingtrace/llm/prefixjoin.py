@@ -3,11 +3,12 @@
 Under any order of all tokens, two sets with a similarity of pct share a token in their prefixes (the first n - ceil(pct * n)
 + 1 tokens), and the sets' sizes and the places of the first shared token bound what follows it. A pair has to pass under every order:
 
-1. One pass over the texts gives each row its set's size and key and counts all tokens of all rows in a table of `counters`
-   hashed cells. Its size is fixed, so it can be sent to every task; a cell that several tokens share only moves them back in the
-   orders, which may be any: results do not depend on it. Frequent tokens still stand out of cells that are full.
-2. Orders: rare tokens first, by cell count; by powers of two of the count, ties by a hash; by powers of four, by another
-   hash. A second pass keeps each class's three prefixes.
+1. One pass over the texts gives each row its set's size and key and counts all tokens and words of all rows in a table of
+   `counters` + `words` hashed cells. Its size is fixed, so it can be sent to every task; results do not depend on it, for any
+   order will do.
+2. A token's level is its expected number by the frequencies of its words, or what its cell holds above the average of all cells if that is more: unlikely
+   tokens come first, while phrases of common words and tokens of often copied texts come last. The three orders: by level; by powers of two of
+   it, ties by a hash; by powers of four, by another hash. A second pass keeps each class's three prefixes.
 3. The first order's prefix tokens are the buckets of linking.link(), which compares classes with leaders and then all
    pairs across components; a pair's other prefixes are tried before its full sets.
 4. The sets of the classes in shared buckets are read from their texts once and stored.
@@ -29,37 +30,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swingtrace.llm.common import SPACES, discard, stored, table
-from swingtrace.llm.hashing import batches, mix, salt, set_key, shingle_sets
+from swingtrace.llm.hashing import batches, mix, salt, set_key, shingle_places
 from swingtrace.llm.linking import BATCH_BYTES, class_sets, fits, link, share, shared_buckets, with_components
 
 COUNTERS = 1 << 22
+WORDS = 1 << 20
 CELLS = 1 << 14  # counters a row when counts are added up
-ORDERS = 3
+STEPS = 256  # levels for each power of two
 
 
 def prefix_length(n: int, pct: int) -> int:
     return n - -(-pct * n // 100) + 1 if n else 0
 
 
-def _counted(docs: DataFrame, text: str, doc_id: str, k: int, counters: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, key) of every row, and rows (block, counts) with the token counts of each task."""
+def _counted(docs: DataFrame, text: str, doc_id: str, k: int, counters: int, words: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, key) of every row, and rows (block, counts) with the counts of each task: tokens, then words."""
+
+    def add(counts, hashes, n):
+        cells, often = np.unique((hashes & np.uint64(n - 1)).astype(np.int64), return_counts=True)
+        counts[cells] += often.astype(np.uint32)
 
     def run(iterator):
         names = ["doc_id", "text_hash", "n_shingles", "key", "block", "counts"]
-        counts, kind = np.zeros(counters, np.uint32), None
+        counts, kind = np.zeros(counters + words, np.uint32), None
         for batch, texts in batches(iterator, BATCH_BYTES):
-            sets = shingle_sets(texts, k)
+            hashes, sets, _ = shingle_places(texts, k)
             kind = batch.schema.field(0).type
-            if any(map(len, sets)):
-                cells = np.concatenate(sets) & np.uint64(counters - 1)
-                counts += np.bincount(cells.astype(np.int64), minlength=counters).astype(np.uint32)
+            add(counts[counters:], hashes, words)
+            add(counts[:counters], np.concatenate(sets), counters)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                  pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
                 names=names,
             )
-        blocks = [b for b in range(-(-counters // CELLS)) if counts[b * CELLS : (b + 1) * CELLS].any()]
+        blocks = [b for b in range(len(counts) // CELLS) if counts[b * CELLS : (b + 1) * CELLS].any()]
         for at in range(0, len(blocks), 64):
             some = blocks[at : at + 64]
             packed = [zlib.compress(counts[b * CELLS : (b + 1) * CELLS].tobytes(), 1) for b in some]
@@ -74,23 +79,39 @@ def _counted(docs: DataFrame, text: str, doc_id: str, k: int, counters: int) ->
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, key binary, block int, counts binary")
 
 
-def _levels(counted: DataFrame, counters: int) -> np.ndarray:
-    """A 16-bit level for each counter, ascending in its count: 1024 steps for each power of two."""
+def _levels(counted: DataFrame, counters: int, words: int) -> tuple[np.ndarray, float]:
+    """A 16-bit level for each cell, STEPS times a binary logarithm: of what a token's cell holds above the average and
+    its spread, and of a word's count. Beside it, the logarithm of the number of tokens.
+    """
+    total = counted.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    usual = total / counters + 3 * (total / counters) ** 0.5
 
     def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, block = 0, None
+        n, block = 0, None
         for piece in pieces:
             for b, packed in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                block, total = b, total + np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.uint64)
-        level = np.minimum(65535, 1024 * np.log2(1.0 + total)).astype(np.uint16)
+                block, n = b, n + np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.float64)
+        if block * CELLS < counters:
+            n = np.maximum(0, n - usual)
+        level = np.minimum(65535, STEPS * np.log2(1.0 + n)).astype(np.uint16)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["block", "level"])
 
     rows = counted.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(run, "block int, level binary")
-    out = np.zeros(max(counters, CELLS), np.uint16)
-    for r in rows.toLocalIterator():  # counters / CELLS rows, whatever the input
-        own = np.frombuffer(r["level"], np.uint16)
-        out[r["block"] * CELLS : r["block"] * CELLS + len(own)] = own
-    return out
+    out = np.zeros(counters + words, np.uint16)
+    for r in rows.toLocalIterator():  # a fixed number of rows, whatever the input
+        out[r["block"] * CELLS : (r["block"] + 1) * CELLS] = np.frombuffer(r["level"], np.uint16)
+    return out, float(np.log2(max(1, total)))
+
+
+def token_levels(tokens: np.ndarray, places: np.ndarray, hashes: np.ndarray, levels: np.ndarray, scale: float, k: int, counters: int) -> np.ndarray:
+    """The level of each token, from its cell and from the k words where it first stands."""
+    words = len(levels) - counters
+    seen = levels[(tokens & np.uint64(counters - 1)).astype(np.int64)].astype(np.float64)
+    likely = np.full(len(tokens), -(k - 1) * scale)
+    for j in range(k):
+        at = np.minimum(places + j, len(hashes) - 1)
+        likely += levels[counters + (hashes[at] & np.uint64(words - 1)).astype(np.int64)] / STEPS
+    return np.maximum(seen, np.minimum(65535, STEPS * np.logaddexp2(0.0, likely))).astype(np.uint16)
 
 
 def orders(tokens: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
@@ -99,12 +120,12 @@ def orders(tokens: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
     room, bits = np.uint64(48), np.uint64(16)
     return [
         (step << room) | (tokens >> bits),
-        ((step >> np.uint64(10)) << room) | (mix(tokens + salt(101)) >> bits),
-        ((step >> np.uint64(11)) << room) | (mix(tokens + salt(202)) >> bits),
+        ((step >> np.uint64(8)) << room) | (mix(tokens + salt(101)) >> bits),
+        ((step >> np.uint64(9)) << room) | (mix(tokens + salt(202)) >> bits),
     ]
 
 
-def _prefixes(docs: DataFrame, levels: np.ndarray, text: str, k: int, pct: int, counters: int) -> DataFrame:
+def _prefixes(docs: DataFrame, levels: np.ndarray, scale: float, text: str, k: int, pct: int, counters: int) -> DataFrame:
     """(key, n, p0, p1, p2) of every class with a shingle: its prefix under each order, 8 bytes a token in p0, 4 in the others."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2 bytes a counter
 
@@ -112,11 +133,13 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, text: str, k: int, pct: int,
         level = sent.value
         for batch, texts in batches(iterator, BATCH_BYTES):
             rows = []
-            for s in shingle_sets(texts, k):
+            hashes, sets, places = shingle_places(texts, k)
+            for s, at in zip(sets, places, strict=True):
                 if not len(s):
                     continue
+                own_levels = token_levels(s, at, hashes, level, scale, k, counters)
                 p, row = prefix_length(len(s), pct), [set_key(s), len(s)]
-                for o, place in enumerate(orders(s, level[(s & np.uint64(counters - 1)).astype(np.int64)])):
+                for o, place in enumerate(orders(s, own_levels)):
                     at = np.argpartition(place, p - 1)[:p] if p < len(s) else np.arange(len(s))
                     own = s[at[np.argsort(place[at])]]
                     row.append((own if o == 0 else own.astype(np.uint32)).tobytes())
@@ -178,12 +201,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
 
 def similar(
-    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 3, pct: int = 90, counters: int = COUNTERS, rounds: int = 4
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 3, pct: int = 90, counters: int = COUNTERS, words: int = WORDS, rounds: int = 3
 ) -> DataFrame:
-    """Per row of docs: doc_id, text_hash, n_shingles, component_id. `counters` is a power of two."""
-    counted = stored(_counted(docs, text, doc_id, k, counters), "counted")
-    levels = _levels(counted, counters)
-    prefixes = stored(_prefixes(docs, levels, text, k, pct, counters), "prefixes")
+    """Per row of docs: doc_id, text_hash, n_shingles, component_id. `counters` and `words` are powers of two, CELLS at least."""
+    counted = stored(_counted(docs, text, doc_id, k, counters, words), "counted")
+    levels, scale = _levels(counted, counters, words)
+    prefixes = stored(_prefixes(docs, levels, scale, text, k, pct, counters), "prefixes")
     mates = shared_buckets(_buckets(prefixes))
     found = counted.filter("block IS NULL").select("doc_id", "text_hash", "n_shingles", "key")
     reps = found.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
