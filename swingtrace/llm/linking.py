@@ -28,6 +28,7 @@ from swingtrace.llm.components import components
 from swingtrace.llm.hashing import batches, set_key, shingle_sets
 
 BATCH_BYTES = 1 << 21
+LISTED = 64  # rows of a bucket up to which its pairs are tried at once
 LEADERS = 8  # of a bucket, and tried by a class, in each round but the first
 
 #: Decides pairs: takes (a, b), returns those that are linked.
@@ -37,10 +38,18 @@ Verify = Callable[[DataFrame], DataFrame]
 Fits = Callable[[Column, Column, Column, Column], Column]
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
-    """rows (bucket, key, n, pos) of the buckets that hold two classes or more."""
-    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("bucket")
-    return stored(rows.join(several, "bucket"), "mates")
+def shared_buckets(rows: DataFrame, fits: Fits) -> DataFrame:
+    """rows (bucket, key, n, pos) that may have a partner in their bucket.
+
+    In buckets of up to LISTED rows each row is held against the others by sizes and places; larger ones are kept as they are.
+    """
+    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    shared = rows.join(several, "bucket")
+    listed = shared.filter(F.col("rows") <= LISTED).groupBy("bucket").agg(F.collect_list(F.struct("key", "n", "pos")).alias("all"))
+    partner = lambda x: F.exists("all", lambda y: (x["key"] != y["key"]) & fits(x["n"], x["pos"], y["n"], y["pos"]))
+    paired = listed.select("bucket", F.explode(F.filter("all", partner)).alias("x")).select("bucket", "x.key", "x.n", "x.pos")
+    large = shared.filter(F.col("rows") > LISTED).select("bucket", "key", "n", "pos")
+    return stored(paired.unionByName(large), "mates")
 
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -168,8 +177,11 @@ def fits(pct: int) -> Fits:
     return of
 
 
-def class_sets(docs: DataFrame, needed: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
-    """(key, shingles) of classes `needed` (key, rep): each set read from a text of the row that stands for its class."""
+def class_sets(docs: DataFrame, needed: DataFrame, text: str, k: int) -> DataFrame:
+    """(key, shingles) of classes `needed` (key, text_hash): each set read from one text with that hash.
+
+    Copies of a text are dropped before they move, and a set is made where its text arrives.
+    """
 
     def run(iterator):
         for batch, texts in batches(iterator, BATCH_BYTES):
@@ -182,10 +194,8 @@ def class_sets(docs: DataFrame, needed: DataFrame, text: str, doc_id: str, k: in
                 names=["key", "shingles"],
             )
 
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    same = texts["doc_id"].eqNullSafe(needed["rep.doc_id"]) & (texts["text_hash"] == needed["rep.text_hash"])
-    found = texts.join(needed, same).select("key", "text")
-    return found.mapInArrow(run, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).groupBy("text_hash").agg(F.first("text").alias("text"))
+    return texts.join(needed, "text_hash").select("key", "text").mapInArrow(run, "key binary, shingles binary")
 
 
 def share(a: np.ndarray, b: np.ndarray, pct: int) -> bool:

@@ -104,16 +104,16 @@ def near_copies(
         found.filter("n_shingles > 0")
         .groupBy("key")
         .agg(
-            F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n_shingles"),
+            F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n_shingles"),
             F.first("registers").alias("registers"), F.first("few").alias("few"),
         ),
         "sets",
     )
     small = sets.filter("few IS NOT NULL").select("key", F.col("n_shingles").alias("n"), F.explode("few").alias("shingle"))
-    mates = shared_buckets(bands(sets).unionAll(rarest(small, pct)))
-    mated = stored(sets.join(mates.select("key").distinct(), "key").select("key", "rep", "n_shingles", "registers"), "mated")
+    mates = shared_buckets(bands(sets).unionAll(rarest(small, pct)), fits(pct))
+    mated = stored(sets.join(mates.select("key").distinct(), "key").select("key", "text_hash", "n_shingles", "registers"), "mated")
     discard(sets)
-    full = stored(mated.drop("rep").join(class_sets(docs, mated.select("key", "rep"), text, doc_id, k), "key"), "full")
+    full = stored(mated.drop("text_hash").join(class_sets(docs, mated.select("key", "text_hash"), text, k), "key"), "full")
     discard(mated)
     by_key = full.select("key", F.col("n_shingles").alias("n"), "shingles")
     narrow = lambda left: rarest(each_shingle(by_key.join(left, "key")), pct)

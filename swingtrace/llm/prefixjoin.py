@@ -207,11 +207,11 @@ def similar(
     counted = stored(_counted(docs, text, doc_id, k, counters, words), "counted")
     levels, scale = _levels(counted, counters, words)
     prefixes = stored(_prefixes(docs, levels, scale, text, k, pct, counters), "prefixes")
-    mates = shared_buckets(_buckets(prefixes))
+    mates = shared_buckets(_buckets(prefixes), fits(pct))
     found = counted.filter("block IS NULL").select("doc_id", "text_hash", "n_shingles", "key")
-    reps = found.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+    reps = found.groupBy("key").agg(F.min("text_hash").alias("text_hash"))
     needed = stored(mates.select("key").distinct().join(reps, "key"), "needed")
-    full = class_sets(docs, needed, text, doc_id, k).join(prefixes.select("key", "n", "p1", "p2"), "key")
+    full = class_sets(docs, needed, text, k).join(prefixes.select("key", "n", "p1", "p2"), "key")
     sets = stored(full, "sets")
     discard(prefixes, needed)
     labels = link(mates, lambda pairs: _verified(pairs, sets, pct), fits(pct), rounds)
