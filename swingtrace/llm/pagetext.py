@@ -20,6 +20,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,8 +73,12 @@ def _names(tag: str, rest: str) -> tuple[str, ...]:
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(names of all open elements, text, characters inside links) of every leaf block with text, in page order."""
+    """(distinct names of all open elements, text, characters inside links) of every leaf block with text, in page order.
+
+    Names and tags of open elements are counted, so a deeply nested page costs no more per block than it has distinct names.
+    """
     out, stack, pieces = [], [("html",)], []
+    named, tags = Counter(["html"]), Counter(["html"])
     link = 0
     linked = 0
 
@@ -82,7 +87,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                out.append((tuple(n for names in stack for n in names), text, linked))
+                out.append((tuple(named), text, linked))
             pieces, linked = [], 0
 
     def add(piece: str) -> None:
@@ -92,6 +97,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if link:
                 linked += len(piece)
 
+    def close() -> str:
+        names = stack.pop()
+        tags[names[0]] -= 1
+        for n in names:
+            named[n] -= 1
+            if not named[n]:
+                del named[n]
+        return names[0]
+
     at = 0
     for m in TAG.finditer(page):
         add(page[at : m.start()])
@@ -110,16 +124,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         flush()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while tags[tag] > (tag == "html"):
+                if close() == tag:
                     break
         elif tag not in VOID and not m["rest"].endswith("/"):
             if stack[-1][0] == "p" or (tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack[-1][0] == tag):
-                stack.pop()
-            stack.append(_names(tag, m["rest"]))
-        if len(stack) > 200:  # deeper elements only repeat what their parents say
-            del stack[100:150]
+                close()
+            names = _names(tag, m["rest"])
+            stack.append(names)
+            tags[tag] += 1
+            named.update(names)
     add(page[at:])
     flush()
     return out

@@ -13,7 +13,9 @@ driver gathers has a fixed bound. Texts are read once; candidates travel in the
 joined or shuffled.
 
 Defined results: a null or empty text has no spans; rows are judged one by one, so repeated rows and
-null ids keep their row; empty tables give empty results; other columns play no part.
+null ids keep their row; empty tables give empty results; other columns play no part. The work grows with a text's
+length and the power 4/3 of its matches, and memory with its length, so one text of a million numbers takes seconds.
+Overlapping spans of several kinds are all reported; `mask` writes the kind of the one that starts first.
 """
 
 from __future__ import annotations
@@ -50,6 +52,44 @@ CUES = r"(?i)\b(?:e-?mail|mail|correo|courriel|contact|kontakt|contacto|tel|phon
 AGAINST = r"(?i)\b(?:version|isbn|issn|page|section|figure|table|release|build|invoice|order|serial)\b[^A-Za-z]*$"
 LABELERS = ("format", "gazetteer", "context", "isolation", "shape")
 SPAN = "array<struct<kind:string,start:int,stop:int,m:string>>"
+#: After every place in a text.
+LATE = 2**31 - 1
+#: Code points in a piece of a text; what is read around a span comes from its pieces, not from the start of the text.
+PIECE = 1024
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often and however deep in lambdas it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, op, zero: int) -> Column:
+    """For each of some integers, `op` over all before it, `zero` for the first; `op` is a sum, maximum or minimum.
+
+    What an aggregate carries is copied at each step, so it runs within blocks of about the cube root of the number of
+    values, then over the blocks' totals: copies grow with the power 4/3 of the number, not with its square.
+    """
+    start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def plain(some: Column) -> Column:
+        return F.aggregate(
+            some, start, lambda s, x: F.struct(op(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        )
+
+    def blocks(all_: Column) -> Column:
+        width = F.greatest(F.lit(8), F.cbrt(F.size(all_)).cast("int"))
+        starts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: plain(F.slice(all_, i, width)))
+
+    def whole(parts: Column) -> Column:
+        before = plain(F.transform(parts, lambda b: b["at"]))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda b, o: F.transform(b["out"], lambda x: op(o, x))))
+
+    return _let(_let(values, blocks), whole)
+
+
+def _largest(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
 
 def _spans(kind: str, found: Column, gaps: Column) -> Column:
@@ -57,16 +97,46 @@ def _spans(kind: str, found: Column, gaps: Column) -> Column:
     steps = F.zip_with(
         found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m"))
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + x["g"]
-        span = F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), (start + x["n"]).alias("stop"), x["m"].alias("m")
+    def placed(x: Column, at: Column) -> Column:
+        start = at + x["g"]
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["n"]).alias("stop"), x["m"].alias("m"))
+
+    def counted(all_: Column) -> Column:
+        return F.zip_with(all_, _running(F.transform(all_, lambda x: x["g"] + x["n"]), lambda a, b: a + b, 0), placed)
+
+    return F.when(F.size(found) > 0, _let(steps, counted)).otherwise(F.array()).cast(SPAN)
+
+
+def _cut(pieces: Column, start: Column, stop: Column) -> Column:
+    """The text from start to stop out of its pieces, touching only the pieces it lies in."""
+    first = F.floor(start / PIECE).cast("int")
+    n = F.floor(F.greatest(stop - 1, start) / PIECE).cast("int") - first + 1
+    return F.substr(F.array_join(F.slice(pieces, first + 1, n), ""), start - first * PIECE + 1, F.greatest(stop - start, F.lit(0)))
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of `base`: in order of start, none of those before ends later than it starts
+    and the next of those behind starts no earlier than it ends."""
+    fields = ("start", "stop", "b", "kind", "m")
+    tagged = lambda a, b: F.transform(
+        a, lambda x: F.struct(*((F.lit(b) if f == "b" else x[f]).alias(f) for f in fields)))
+
+    def kept(both: Column) -> Column:
+        end = F.transform(both, lambda x: F.when(x["b"] == 0, x["stop"]).otherwise(0))
+        start = F.transform(F.reverse(both), lambda x: F.when(x["b"] == 0, x["start"]).otherwise(LATE))
+        near = F.zip_with(
+            _running(end, _largest, 0), F.reverse(_running(start, lambda a, b: F.least(a, b), LATE)),
+            lambda far, next_: F.struct(far.alias("far"), next_.alias("next")),
+        )
+        return F.filter(
+            F.zip_with(both, near, lambda x, n: F.when((x["b"] == 1) & (x["start"] >= n["far"]) & (x["stop"] <= n["next"]), x)),
+            lambda x: x.isNotNull(),
         )
-        return F.struct((start + x["n"]).alias("at"), F.concat(a["out"], F.array(span)).cast(SPAN).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, zero, add, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    free = _let(F.array_sort(F.concat(tagged(base, 0), tagged(spans, 1))), kept)
+    bare = F.transform(free, lambda x: F.struct(*(x[f].alias(f) for f in ("kind", "start", "stop", "m"))))
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(bare)
 
 
 def _digits(m: Column) -> Column:
@@ -93,21 +163,17 @@ def _gates(text: Column) -> dict[str, Column]:
     }
 
 
-def _overlaps(x: Column, others: Column) -> Column:
-    return F.exists(others, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"]))
-
-
 def _vote(yes: Column, no: Column) -> Column:
     """1 for yes, 0 for no, -1 for none."""
     return F.when(yes, 1).when(no, 0).otherwise(-1)
 
 
-def _judged(span: Column, text: Column, base: Column) -> Column:
+def _judged(span: Column, pieces: Column, base: Column) -> Column:
     """The span with the votes of all labelers and its shape."""
     kind, m = span["kind"], span["m"]
-    before = F.substr(text, F.greatest(F.lit(1), span["start"] - 39), F.least(F.lit(40), span["start"]))
-    left = F.when(span["start"] > 0, F.substr(text, span["start"], F.lit(1))).otherwise(F.lit(""))
-    right = F.substr(text, span["stop"] + 1, F.lit(1))
+    before = _cut(pieces, F.greatest(F.lit(0), span["start"] - 40), span["start"])
+    left = F.right(before, F.lit(1))
+    right = _cut(pieces, span["stop"], span["stop"] + 1)
     digits = _digits(m)
     last = F.lower(F.regexp_extract(m, r"([A-Za-z]+)[^A-Za-z]*$", 1))
     gazetteer = (
@@ -152,9 +218,10 @@ def candidates(docs: DataFrame, *, text: str = "text", rows: bool = True) -> Dat
     d = d.withColumn("base", F.concat(*(F.col(f"v_{k}") for k in BASE)))
     failed = F.concat(*(_only(k, F.col(f"s_{k}"), False) for k in ("ip", "card")))
     failed = F.filter(failed, lambda x: F.length(x["m"]) >= 7)
-    wider = F.filter(F.concat(*(F.col(f"s_wide_{k}") for k in WIDER)), lambda x: ~_overlaps(x, F.col("base")))
-    d = d.select("row", "text", "base", F.concat(failed, wider).alias("other"))
-    t = F.col("text")
+    d = d.withColumn("wider", F.concat(*(F.col(f"s_wide_{k}") for k in WIDER)))
+    pieces = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    d = d.select("row", "base", F.concat(failed, _apart(F.col("wider"), F.col("base"))).alias("other"), pieces.alias("pieces"))
+    t = F.col("pieces")
     return d.select(
         "row",
         F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"))).alias("base"),
@@ -252,19 +319,20 @@ def listed(spans_of: Column) -> Column:
 def mask(docs: DataFrame, *, text: str = "text", length: str | None = None) -> DataFrame:
     """docs with every span of personal data replaced by its kind in brackets; `length` names a column to set to the new length."""
     found = spans(docs, text=text)
+    found = found.select(
+        "row", "spans", F.regexp_extract_all(F.col(f"row.`{text}`"), F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces")
+    )
     t = F.col(f"row.`{text}`")
     by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def cut(a: Column, x: Column) -> Column:
-        inside = x["start"] < a["at"]  # overlaps what is masked already
-        piece = F.array(F.substr(t, a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("["), x["kind"], F.lit("]")))
-        return F.struct(
-            F.greatest(a["at"], x["stop"]).alias("at"), F.when(inside, a["out"]).otherwise(F.concat(a["out"], piece)).alias("out")
-        )
-
-    whole = lambda a: F.concat(F.array_join(a["out"], ""), F.substr(t, a["at"] + 1, F.length(t)))
-    masked = F.when(F.size("spans") > 0, F.aggregate(by_start, zero, cut, whole)).otherwise(t)
+    marks = _let(by_start, lambda all_: F.zip_with(
+        all_, _running(F.transform(all_, lambda x: x["stop"]), _largest, 0),
+        lambda x, at: F.struct(at.alias("at"), x["start"].alias("start"), x["kind"].alias("kind")),
+    ))
+    marks = F.filter(marks, lambda x: x["start"] >= x["at"])  # others overlap what is masked already
+    parts = F.transform(marks, lambda x: F.concat(_cut(F.col("pieces"), x["at"], x["start"]), F.lit("["), x["kind"], F.lit("]")))
+    end = F.array_max(F.transform("spans", lambda x: x["stop"]))
+    rest = F.substr(t, end + 1, F.length(t))
+    masked = F.when(F.size("spans") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(t)
     out = found.select("row", masked.alias("masked"))
     value = {text: F.col("masked"), **({length: F.length("masked")} if length in docs.columns else {})}
     return out.select(*((value[c].cast(docs.schema[c].dataType) if c in value else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

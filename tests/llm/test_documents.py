@@ -180,6 +180,37 @@ def test_private_tricky_texts_and_masks(spark):
     assert private.mask(empty(d)).count() == 0
 
 
+def test_private_long_and_dense_texts(spark):
+    """A million numbers, and a hundred thousand places of two kinds, in one text each; masks keep what is between."""
+    numbers = ", ".join(str(10000 + i % 90000) for i in range(1_000_000))
+    lines = [f"tel 555-{100 + i % 900}-{1000 + i % 9000} né{i} a{i}@x.com" for i in range(20_000)]
+    dense = "; ".join(lines)
+    d = spark.createDataFrame([(1, numbers), (2, dense)], "doc_id long, text string")
+    found = {r.row.doc_id: r for r in private.spans(d, rows=False).collect()}
+    assert not found[1].base
+    assert [tuple(s) for s in found[2].base] == base_private(dense)
+    assert all("@" in dense[s.start : s.stop] or dense[s.start : s.stop].startswith("555-") for s in found[2].spans)
+    masked = {r.doc_id: r.text for r in private.mask(d).collect()}
+    assert masked[1] == numbers
+    want, at = [], 0
+    for kind, start, stop in sorted((tuple(s) for s in found[2].spans), key=lambda s: s[1]):
+        want += [dense[at:start], f"[{kind}]"]
+        at = stop
+    assert masked[2] == "".join(want) + dense[at:]
+
+
+def test_private_proposals_apart_from_base(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        make = lambda n: [(k, a, a + rng.randint(1, 6)) for k, a in ((rng.choice("ab"), rng.randint(0, 60)) for _ in range(n))]
+        rows.append((i, [(*x, "m") for x in make(rng.randint(0, 8))], [(*x, "m") for x in make(rng.randint(0, 8))]))
+    d = spark.createDataFrame(rows, f"id long, s {private.SPAN}, b {private.SPAN}")
+    for r in d.select("*", private._apart(F.col("s"), F.col("b")).alias("apart")).collect():
+        want = [tuple(x) for x in r.s if not any(x.start < y.stop and y.start < x.stop for y in r.b)]
+        assert sorted(tuple(x) for x in r.apart) == sorted(want)
+
+
 def test_private_odd_rows(odd):
     assert private.mask(odd).columns == odd.columns
     assert private.spans(odd).filter("size(spans) > 0").count() == 0

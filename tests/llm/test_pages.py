@@ -111,3 +111,14 @@ def test_reader_refuses_damage():
         list(archives.Reader([good[:-9]]))
     with pytest.raises(ValueError, match="digest"):
         list(archives.Reader([archives.encode("1", "u", b"payload", archives.digest(b"other"), None)]))
+
+
+def test_deep_pages_keep_their_open_elements():
+    """A notice opened far above its text is still in the text's path, its end tag closes it, and unclosed elements cost little."""
+    deep = "<div class=x>" * 150
+    page = f"<html><body>{deep}<div class='notice'>{'<div>' * 120}inside{'</div>' * 120}</div>after{'</div>' * 150}</body></html>"
+    (inside, a, _), (after, b, _) = pagetext.blocks(page)
+    assert (a, b) == ("inside", "after")
+    assert "notice" in inside and "notice" not in after and "x" in after
+    many = pagetext.blocks("<body>" + "<div class=y>t</section></x>" * 50_000)
+    assert len(many) == 50_000 and set(many[-1][0]) == {"html", "body", "div", "y"}
