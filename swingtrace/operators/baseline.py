@@ -68,6 +68,11 @@ def baseline_days(start: Day, end: Day, data_start: Day) -> list[dt.date]:
     return sorted(d for d in back - set(window) if d >= floor)
 
 
+def history_start(start: Day) -> dt.date:
+    """The first day that any prior same weekday of ``start`` or a later day lies on."""
+    return as_date(start) - dt.timedelta(weeks=T.baseline_weeks)
+
+
 def baseline_dates(rows: DataFrame, start: Day, end: Day) -> DataFrame:
     """The same days as a DataFrame ``(d)``, derived from the data's own bounds."""
     window = (F.lit(as_date(start)), F.lit(as_date(end)))

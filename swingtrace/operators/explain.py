@@ -307,7 +307,9 @@ def priority(rows: DataFrame) -> DataFrame:
     )
 
 
-def recover_series(source: EventSource, metric: str, mask: Mask) -> DataFrame:
+def recover_series(source: EventSource, metric: str, mask: Mask, start: B.Day | None = None) -> DataFrame:
+    """The daily series from the first day that the normal of ``start`` looks back to."""
     m = resolve_metric(metric)
-    daily = source.grouped(["event_date"], mask=mask)
+    since = None if start is None else F.col("event_date") >= F.lit(B.history_start(start))
+    daily = source.grouped(["event_date"], mask=mask, where=since)
     return daily.select(F.col("event_date").alias("d"), m.value().alias("v"))

@@ -132,7 +132,9 @@ def qualifies(
 
 
 def ranked(candidates: DataFrame) -> DataFrame:
-    return candidates.orderBy(F.desc("contribution"), "dim", "val")
+    """Largest contribution first. Where parent and child explain the same, the narrower one that moved further leads."""
+    explains = F.round("contribution", 9)
+    return candidates.orderBy(F.desc(explains), F.desc(F.round(F.abs(move()), 9)), "share_pct", "dim", "val")
 
 
 def uniformity(candidates: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -166,6 +168,7 @@ class Residual:
     normal: DataFrame
     uniform: dict
     rounds: int
+    unresolved: DataFrame  # qualifying segments that the allowed rounds left unexplained
 
 
 def contamination(
@@ -214,14 +217,15 @@ def residualize(
 ) -> Residual:
     """Take out the largest mover, measure the rest again, repeat.
 
-    Each round is one job; only its top row comes to the driver. With ``platform="remainder"`` the
+    Each round is one job; only its top row comes to the driver. After ``t.max_rounds`` of them, what still
+    qualifies is in ``unresolved``. With ``platform="remainder"`` the
     platform's move is re-measured on what is left, so that segments at rest do not qualify merely
     because the original platform moved; ``"fixed"`` keeps judging against the original move.
     """
     verdict = uniformity(initial, t).first().asDict()
     calm = F.abs(move()) <= t.uniform_move
     if verdict["uniform"]:
-        return Residual([], _nothing(initial), initial.filter(calm), verdict, 0)
+        return Residual([], _nothing(initial), initial.filter(calm), verdict, 0, initial.filter(F.lit(False)))
     causes: list[dict] = []
     cleared: DataFrame | None = None
     mask, current, delta = OPEN, initial, platform_delta
@@ -251,7 +255,8 @@ def residualize(
     causes.sort(key=lambda c: -order[(c["dim"], c["val"])])
     for c in causes:
         c["survival"] = order[(c["dim"], c["val"])]
-    return Residual(causes, cleared, normal, verdict, rounds)
+    unresolved = current.filter(qualifies(metric, delta, t))
+    return Residual(causes, cleared, normal, verdict, rounds, unresolved)
 
 
 def survival_moves(

@@ -39,8 +39,10 @@ def match_watches(watches: DataFrame, incidents: DataFrame) -> DataFrame:
     """Incidents that end after a watch's own cursor, each once.
 
     A watch that has never reported hears only of the latest incident, so it meets one
-    pre-aggregated row per segment (or per metric, for a watch on the platform); only watches with
-    a cursor meet individual incidents.
+    pre-aggregated row per segment (or per metric, for a watch on the platform). A watch with a cursor
+    first meets the days on which incidents of its metric or segment end, one row each, and only on
+    those after its cursor the incidents themselves: what is between is bounded by watches x days and
+    by the result, and a metric's incidents are dealt out by day.
     """
     incidents = incidents.withColumnRenamed("metric", "inc_metric")
     fields = ["start", "end", "worst_pct", "worst_sigma", "requests_per_day", "dim", "val"]
@@ -58,18 +60,8 @@ def match_watches(watches: DataFrame, incidents: DataFrame) -> DataFrame:
     first_metric = new.filter(~on_segment).join(
         by_metric, F.col("metric") == F.col("on_inc_metric")
     )
-    listed = incidents.withColumn("i", F.struct(*fields))
-    fresh = F.col("end") > F.col("watermark")
-    again_segment = known.filter(on_segment).join(
-        listed,
-        (F.col("metric") == F.col("inc_metric"))
-        & (F.col("dimension") == F.col("dim"))
-        & (F.col("value") == F.col("val"))
-        & fresh,
-    )
-    again_metric = known.filter(~on_segment).join(
-        listed, (F.col("metric") == F.col("inc_metric")) & fresh
-    )
+    again_segment = _since(known.filter(on_segment), incidents, fields, ("metric", "dimension", "value"))
+    again_metric = _since(known.filter(~on_segment), incidents, fields, ("metric",))
     out = ["watch_id", "user_id", "metric", "dimension", "value", "watermark", "i"]
     parts = [p.select(*out) for p in (first_segment, first_metric, again_segment, again_metric)]
     rows = parts[0]
@@ -86,6 +78,16 @@ def match_watches(watches: DataFrame, incidents: DataFrame) -> DataFrame:
     )
 
 
+def _since(watches: DataFrame, incidents: DataFrame, fields: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """Each watch with every incident of its key that ends after its cursor, as ``i``."""
+    of = dict(zip(("metric", "dimension", "value"), ("inc_metric", "dim", "val")))
+    renamed = [F.col(of[k]).alias(k) for k in keys]
+    days = incidents.select(*renamed, F.col("end").alias("end_day")).distinct()
+    due = watches.join(days, list(keys)).filter(F.col("end_day") > F.col("watermark"))
+    listed = incidents.select(*renamed, F.col("end").alias("end_day"), F.struct(*fields).alias("i"))
+    return due.join(listed, [*keys, "end_day"])
+
+
 def advance(watches: DataFrame, matched: DataFrame) -> DataFrame:
     """Every watch with its cursor moved to the last incident it was told about."""
     seen = matched.groupBy("watch_id").agg(F.max("day").alias("seen"))
