@@ -62,15 +62,17 @@ def main() -> None:
     star = A.Star(stored, *(materialize(d, "bench-dim") for d in (
         star.apps, star.advertisers, star.geo_device)))
     raw = EventSource(star)
+    held = new_path(spark, "bench-manifest")
     hourly, daily = timed(
         "rollup_build",
         lambda: ingest.write_rollups(
             enrich_star(star.fact, star.apps, star.advertisers, star.geo_device),
             new_path(spark, "bench-hourly"),
             new_path(spark, "bench-daily"),
+            manifest_path=held,
         ),
     )
-    rolled = RollupSource(hourly, daily, star=star)
+    rolled = RollupSource(hourly, daily, star=star, manifest=ingest.read_manifest(spark, held))
 
     for kind, source in (("raw", raw), ("rollup", rolled)):
         calls = {

@@ -143,6 +143,40 @@ def read_cut(rollup: DataFrame, dims: Iterable[str]) -> DataFrame | None:
     return rows.drop("dim", "val")
 
 
+def manifest(hourly: DataFrame, daily: DataFrame) -> DataFrame:
+    """What the rollups hold: events per (day, grain, key). As long as days x keys, whatever the number of events."""
+
+    def totals(rollup: DataFrame, grain: str) -> DataFrame:
+        counted = rollup.groupBy("event_date", "dim").agg(F.sum("events").alias("total"))
+        return counted.select("event_date", F.lit(grain).alias("grain"), "dim", "total")
+
+    return totals(hourly, "hourly").unionByName(totals(daily, "daily"))
+
+
+def day_verdicts(counts: DataFrame) -> DataFrame:
+    """One row per day of a manifest: the events it accounts for, and why it cannot be read (empty if it can)."""
+
+    def of(grain: str, f) -> Column:
+        return f(F.when(F.col("grain") == grain, F.col("total")))
+
+    per_day = counts.groupBy("event_date").agg(
+        *(of(g, f).alias(f"{g}_{n}") for g in ("hourly", "daily") for n, f in (("keys", F.count), ("min", F.min), ("max", F.max)))
+    )
+    reason = F.lit("")
+    for g in ("hourly", "daily"):
+        reason = (
+            F.when(F.col(f"{g}_keys") != len(ROLLUP_KEYS), f"{g} rollup lacks a key")
+            .when(F.col(f"{g}_min") != F.col(f"{g}_max"), f"{g} keys disagree")
+            .otherwise(reason)
+        )
+    apart = F.col("hourly_min") != F.col("daily_min")
+    return per_day.select(
+        "event_date",
+        F.col("daily_min").alias("total"),
+        F.when(reason != "", reason).when(apart, "grains disagree").otherwise("").alias("reason"),
+    )
+
+
 def rollup_health(fact_count: DataFrame, hourly: DataFrame, daily: DataFrame) -> DataFrame:
     """Whether every key of both grains accounts for every event, and if not, why.
 

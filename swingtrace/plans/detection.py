@@ -12,6 +12,7 @@ from swingtrace.operators import baseline as B
 from swingtrace.operators import detect as D
 from swingtrace.operators import query as Q
 from swingtrace.operators import rollup as R
+from swingtrace.operators.source import RollupSource
 from swingtrace.plans import sqltext as S
 from swingtrace.plans.basics import FROM, TO, WINDOW, _CELL_SUMMARY, cell_summary
 from swingtrace.plans.registry import (
@@ -115,6 +116,28 @@ def rollup_health(spark, sf):
     return R.rollup_health(counted, source.hourly, source.daily)
 
 
+@query(
+    "rollup_stale_days",
+    f"""WITH {S.enriched()}
+SELECT event_date, region, count(*)::BIGINT AS events, sum(is_filled)::BIGINT AS fills,
+       'rollup:daily+raw' AS served_from, {TO!r} AS stale
+FROM enriched GROUP BY 1, 2""",
+)
+def rollup_stale_days(spark, sf):
+    """One day has lost a region from its daily rollup: that day comes from the events, the others from the rollup."""
+    whole = stored_rollups(spark, sf)
+    lost = (F.col("event_date") == F.lit(TO).cast("date")) & (F.col("dim") == "region") & (F.col("val") == "ASIA")
+    daily = whole.daily.filter(~lost)
+    counts = materialize(R.manifest(whole.hourly, daily), "manifest")
+    source = RollupSource(whole.hourly, daily, star=A.star(spark, sf), manifest=counts)
+    rows = source.grouped(["event_date", "region"], ["region"])
+    stale = ",".join(map(str, source.stale_days))
+    return rows.select(
+        "event_date", "region", "events", "fills",
+        F.lit(source.served_from(["region"])).alias("served_from"), F.lit(stale).alias("stale"),
+    )
+
+
 _FIRINGS = f"""SELECT metric, dim, val, day, {S.by_metric("actual")} AS actual,
        {S.r("baseline", 4)} AS baseline, {S.r("pct", 4)} AS pct, {S.r("sigma", 4)} AS sigma,
        requests FROM firings"""

@@ -39,6 +39,7 @@ ROLLUP_DAILY = _struct(
     "dim string, val string, events bigint, fills bigint, impressions bigint, clicks bigint, "
     "revenue double, event_date date"
 )
+ROLLUP_MANIFEST = _struct("grain string, dim string, total bigint, event_date date")
 FIRINGS = _struct(
     "metric string, dim string, val string, day date, actual double, baseline double, "
     "pct double, sigma double, requests bigint"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swingtrace import schema
-from swingtrace.operators.rollup import rollup_daily, rollup_hourly
+from swingtrace.operators.rollup import manifest, rollup_daily, rollup_hourly
 
 
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
@@ -105,12 +105,12 @@ def replace_days(
 
 
 def write_rollups(
-    events: DataFrame, hourly_path: str, daily_path: str, compact: bool = False
+    events: DataFrame, hourly_path: str, daily_path: str, compact: bool = False, manifest_path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Both rollups of the days in ``events``; the daily one from the stored hourly one.
 
-    Rows are sorted by cut, so a reader of one cut skips the row groups of the others. The days
-    rebuilt are read off the stored hourly partitions that were just replaced.
+    Rows are sorted by cut, so a reader of one cut skips the row groups of the others. With a
+    ``manifest_path`` the days' counts per key are stored there, as read back from what was written.
     """
     spark = events.sparkSession
     hourly = rollup_hourly(events, compact=compact)
@@ -119,7 +119,15 @@ def write_rollups(
     touched = sorted(_days_of(events))
     fresh = stored.filter(F.col("event_date").isin(*touched)) if touched else stored.filter("false")
     _write_days(rollup_daily(fresh), daily_path, ("event_date", "dim", "val"))
-    return stored, read_daily(spark, daily_path)
+    daily = read_daily(spark, daily_path)
+    if manifest_path is not None and touched:
+        kept = daily.filter(F.col("event_date").isin(*touched))
+        _write_days(manifest(fresh, kept), manifest_path, ("event_date", "grain", "dim"))
+    return stored, daily
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schema.ROLLUP_MANIFEST).parquet(path)
 
 
 def read_hourly(spark: SparkSession, path: str) -> DataFrame:
@@ -131,13 +139,13 @@ def read_daily(spark: SparkSession, path: str) -> DataFrame:
 
 
 def backfill_days(
-    enriched: DataFrame, days: Iterable[dt.date], hourly_path: str, daily_path: str
+    enriched: DataFrame, days: Iterable[dt.date], hourly_path: str, daily_path: str, manifest_path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Rebuild chosen days of both rollups from the events; repeating it changes nothing."""
     chosen = list(days)
     events = enriched.filter(F.col("event_date").isin(*chosen))
-    hourly, daily = write_rollups(events, hourly_path, daily_path)
-    for path in (hourly_path, daily_path):  # days emptied at the source
+    hourly, daily = write_rollups(events, hourly_path, daily_path, manifest_path=manifest_path)
+    for path in filter(None, (hourly_path, daily_path, manifest_path)):  # days emptied at the source
         drop_days(enriched.sparkSession, path, set(chosen) - _days_of(events))
     hourly, daily = read_hourly(enriched.sparkSession, hourly_path), read_daily(enriched.sparkSession, daily_path)
     expected = events.count()

@@ -8,7 +8,7 @@ from swingtrace import schema
 from swingtrace.config import ROLLUP_CUTS
 from swingtrace.operators import quality as V
 from swingtrace.operators import rollup as R
-from swingtrace.operators.source import RollupSource
+from swingtrace.operators.source import EventSource, RollupSource
 from swingtrace.sources import adapter as A
 from swingtrace.sources import ingest
 
@@ -211,3 +211,38 @@ def test_a_second_stream_run_counts_nothing_twice(spark, sf, tmp_path):
     events.filter("event_time >= '2026-06-20'").write.mode("append").parquet(files)
     R.run_rollups(R.read_events(spark, files), star, hourly, daily, fact)
     assert total() == events.count()
+
+
+def test_a_short_day_is_read_from_the_events_and_the_others_from_the_rollup(rolled, spark, sf, tmp_path):
+    star = A.star(spark, sf)
+    day = dt.date(2026, 6, 30)
+    short = rolled.daily.filter(~((F.col("event_date") == day) & (F.col("dim") == "region") & (F.col("val") == "ASIA")))
+    source = RollupSource(rolled.hourly, short, star=star, manifest=R.manifest(rolled.hourly, short))
+    assert source.stale_days == [day] and source.served_from(["region"]) == "rollup:daily+raw"
+    for by, dims in ((["event_date", "region"], ["region"]), (["region"], ["region"]), ([], []), (["event_hour"], [])):
+        got = {tuple(r[b] for b in by): (r["events"], r["fills"]) for r in source.grouped(by, dims).collect()}
+        want = {tuple(r[b] for b in by): (r["events"], r["fills"]) for r in EventSource(star).grouped(by, dims).collect()}
+        assert got == want
+    cells = source.cells([("region",)])
+    assert cells.groupBy("event_date", "dim", "val").count().filter("count > 1").count() == 0
+    assert cells.agg(F.sum("events")).first()[0] == star.fact.count()
+    missing = rolled.hourly.filter(F.col("event_date") != day), rolled.daily.filter(F.col("event_date") != day)
+    late = RollupSource(*missing, star=star, manifest=R.manifest(*missing))
+    assert late.stale_days == [day] and late.grouped([]).first()["events"] == star.fact.count()
+    whole = RollupSource(rolled.hourly, rolled.daily, star=star, manifest=R.manifest(rolled.hourly, rolled.daily))
+    assert whole.stale_days == [] and whole.served_from(["region"]) == "rollup:daily"
+
+
+def test_loads_keep_the_manifest(spark, sf, tmp_path):
+    from swingtrace.operators.enrich import enrich_star
+
+    star = A.star(spark, sf)
+    day = dt.date(2026, 6, 30)
+    rows = enrich_star(star.fact, star.apps, star.advertisers, star.geo_device).filter(F.col("event_date") >= day)
+    paths = [str(tmp_path / n) for n in ("h", "d")]
+    held = str(tmp_path / "m")
+    ingest.write_rollups(rows, *paths, manifest_path=held)
+    hourly, daily = ingest.backfill_days(rows.filter(F.col("event_date") != day), [day], *paths, manifest_path=held)
+    left = ingest.read_manifest(spark, held)
+    assert left.filter(F.col("event_date") == day).count() == 0 and left.count() > 0
+    assert left.select("event_date", "grain", "dim", "total").exceptAll(R.manifest(hourly, daily)).count() == 0
