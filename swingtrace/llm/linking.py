@@ -3,8 +3,9 @@
 Both similarity operators put every class (a distinct set) into buckets such that two linked classes share one. Comparing all
 pairs of a bucket is quadratic in a group of near copies, though nearly all of them end in one component. So:
 
-1. In a leader round every class is compared with a fixed number of others: of the leaders of its buckets outside its own component, those which it
-   meets most often. In the first round the class with most shared buckets leads (the text the others were derived from), later random ones.
+1. In a leader round a class is compared with a fixed number of others: of the leaders of its buckets outside its own component, those which it
+   meets most often. In the first round the class with most shared buckets leads (the text the others were derived from), later a random
+   one of the bucket's largest component, and only rows outside that component look for leaders.
 2. Buckets whose classes all lie in one component are left out from then on.
 3. After the rounds every pair across components that shares a bucket is compared, no matter how many there are: the rows outside
    a bucket's largest component against the rows of the bucket. For this pass the buckets may be exchanged for narrower ones that are exact as
@@ -29,7 +30,7 @@ from swingtrace.llm.hashing import batches, set_key, shingle_sets
 
 BATCH_BYTES = 1 << 21
 LISTED = 64  # rows of a bucket up to which its pairs are tried at once
-LEADERS = 8  # of a bucket, and tried by a class, in each round but the first
+LEADERS = 8  # tried by a class in each round but the first
 
 #: Decides pairs: takes (a, b), returns those that are linked.
 Verify = Callable[[DataFrame], DataFrame]
@@ -64,29 +65,23 @@ def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def _leader_pairs(placed: DataFrame, turn: int, fits: Fits) -> DataFrame:
     """(a, b): each class with the leaders outside its component that it meets in most of its buckets.
 
-    The same classes lead wherever they are, so a leader met in many buckets shares much with the class.
+    A bucket has one leader a round, so a class meets no more than it has buckets. The same classes lead wherever they are, so
+    a leader met in many buckets shares much with the class. After the first round the bucket's largest component leads
+    and only rows outside it look for a leader.
     """
     if turn == 0:
-        ranks = [F.struct((-F.col("degree")).alias("d"), "key")]
+        inside, outside, first = placed, placed, -F.col("degree")
     else:
-        ranks = [F.struct(F.xxhash64("key", F.lit(LEADERS * turn + j)).alias("d"), "key") for j in range(LEADERS)]
-    leads = placed.groupBy("bucket").agg(
-        *(F.min(F.struct(r.alias("rank"), "label", "n", "pos")).alias(f"l{j}") for j, r in enumerate(ranks)),
-        F.min("label").alias("x"), F.max("label").alias("y"),
-    )
-    leads = leads.filter("x <> y").select("bucket", *(f"l{j}" for j in range(len(ranks))))
-    met = placed.join(leads, "bucket")
-    tried = [
-        F.when((F.col("label") != F.col(f"l{j}.label")) & fits(F.col("n"), F.col("pos"), F.col(f"l{j}.n"), F.col(f"l{j}.pos")), F.col(f"l{j}.rank.key"))
-        for j in range(len(ranks))
-    ]
-    own = met.select("key", F.explode(F.array_distinct(F.array_compact(F.array(*tried)))).alias("leader")) if turn else (
-        met.select("key", tried[0].alias("leader")).filter("leader IS NOT NULL")
-    )
+        inside, outside = placed.filter("label = main"), placed.filter("label != main")
+        first = F.xxhash64("key", F.lit(turn))
+    rank = F.struct(first.alias("first"), "key")
+    leads = inside.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "label", "n", "pos")).alias("lead"))
+    other = (F.col("label") != F.col("lead.label")) & fits(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"))
+    own = outside.join(leads, "bucket").filter(other).select("key", F.col("lead.rank.key").alias("leader"))
     often = own.groupBy("key", "leader").agg(F.count(F.lit(1)).alias("often"))
     best = often.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("often", "leader")), asc=False).alias("best"))
-    first = F.slice("best", 1, LEADERS if turn else 1)
-    return best.select(F.col("key").alias("a"), F.explode(first).alias("best")).select("a", F.col("best.leader").alias("b"))
+    tried = F.slice("best", 1, LEADERS if turn else 1)
+    return best.select(F.col("key").alias("a"), F.explode(tried).alias("best")).select("a", F.col("best.leader").alias("b"))
 
 
 def _open_rows(placed: DataFrame) -> DataFrame:
