@@ -430,15 +430,13 @@ def agg_median_exact(spark, sf):
 @query(
     "agg_median_interp",
     f"""WITH {S.enriched()},
-d AS (SELECT region, event_date, {S.SUMS} FROM enriched WHERE event_date <= DATE '2026-06-28'
-      GROUP BY 1, 2)
+d AS (SELECT region, event_hour, {S.SUMS} FROM enriched GROUP BY 1, 2)
 SELECT region, {S.r("median(revenue)", 2)} AS middle FROM d GROUP BY 1""",
 )
 def agg_median_interp(spark, sf):
-    """28 days, an even count: the mean of the two middles."""
-    where = F.col("event_date") <= F.lit("2026-06-28").cast("date")
-    daily = folded(spark, sf).grouped(["region", "event_date"], ["region"], where=where)
-    lists = daily.groupBy("region").agg(F.collect_list("revenue").alias("xs"))
+    """Hours of whole days, an even count: the mean of the two middles."""
+    hourly = folded(spark, sf).grouped(["region", "event_hour"], ["region"])
+    lists = hourly.groupBy("region").agg(F.collect_list("revenue").alias("xs"))
     return lists.select("region", rnd(stats.median_of(F.col("xs")), 2).alias("middle"))
 
 

@@ -562,7 +562,7 @@ def _evidence_sql() -> str:
     dec = " UNION ALL ".join(
         f"SELECT 'decompose.' || factor || '{n}', {S.r(x, d)} FROM alldec"
         for n, x, d in (
-            (".delta_pct", "delta_pct", 4), ("", "inc_value", 6),
+            (".delta_pct", "delta_pct", 4), ("", "inc_value", 6), (".revenue_effect", "revenue_effect", 4),
         )
     )
     cause = " UNION ALL ".join(
@@ -573,8 +573,25 @@ def _evidence_sql() -> str:
         f"SELECT 'cleared.' || dim || '.' || val || '.{n}', {S.r(x, 4)} FROM cont"
         for n, x in (("raw", "delta_pp"), ("residual", "residual"))
     )
-    return f"""WITH {S.panel("break")}, {_DETECT}, {_RESIDUAL}, {decompose_sql(Q_PLANT, name="alldec")}
-SELECT label, value FROM ({det} UNION ALL {dec} UNION ALL {cause} UNION ALL {cont})"""
+    gates = " UNION ALL ".join(
+        f"SELECT 'gate.{n}', {float(x)}::DOUBLE"
+        for n, x in (
+            ("platform_pct", T.platform_pct), ("platform_sigma", T.platform_sigma), ("baseline_days", T.min_baseline_days),
+        )
+    )
+    signals = " UNION ALL ".join(
+        f"SELECT 'classify.{n}', {S.r(x, d)} FROM cls"
+        for s, d in (("advertisers", 0), ("render", 4), ("ecpm", 3), ("requests", 0))
+        for n, x in ((s, f"{s}_inc"), (f"{s}.baseline", f"{s}_base"))
+    )
+    moves = " UNION ALL ".join(
+        f"SELECT 'classify.{n}', {S.r(n, 4)} FROM cls" for n in ("advertisers_pct", "render_pp", "ecpm_pct", "requests_pct")
+    )
+    price = f"SELECT 'price.revenue_impact_per_day', {S.r('any_value(revenue_delta)', 2)} FROM dec"
+    own = f"{DIM} = '{VAL}'"
+    return f"""WITH {S.panel("break")}, {_DETECT}, {_RESIDUAL}, {decompose_sql(Q_PLANT, name="alldec")},
+{decompose_sql(Q_PLANT, own)}, {classify_sql(Q_PLANT, own, "fill_rate")}
+SELECT label, value FROM ({" UNION ALL ".join((det, dec, cause, cont, gates, signals, moves, price))})"""
 
 
 def _investigated(spark, sf):
@@ -584,11 +601,8 @@ def _investigated(spark, sf):
 
 @query("i_evidence", _evidence_sql())
 def i_evidence(spark, sf):
-    """Every recorded number but gates, dollars and signals, which have their own checks."""
-    rows = _investigated(spark, sf).evidence
-    left_out = r"^(gate|classify|price)\.|revenue_effect$"
-    kept = rows.filter(~F.col("label").rlike(left_out))
-    return kept.select("label", rnd("value").alias("value"))
+    """Every recorded number."""
+    return _investigated(spark, sf).evidence.select("label", rnd("value").alias("value"))
 
 
 @query(

@@ -17,7 +17,8 @@ QUICK = (
     "flagship enrich_star filter_scope agg_fan_out q_compare q_rank q_weekly_growth rollup_daily "
     "d_platform_scan d_cluster_windows i_decompose i_localize i_classify g_grounding w_match "
     "v_rollup_parity t_kv_rollup_15m t_step_attribution agg_quantiles t_span_health s_rollup_hourly "
-    "rollup_stale_days i_residualize s_rollup_daily s_late_days s_kv_15m s_step_sessions s_watch"
+    "rollup_stale_days i_residualize s_rollup_daily s_late_days s_kv_15m s_step_sessions s_watch "
+    "i_evidence v_evidence_parity agg_median_interp"
 ).split()
 KEYS = list(QUERIES) if os.environ.get("SWINGTRACE_ALL") else QUICK
 
