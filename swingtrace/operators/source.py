@@ -20,7 +20,12 @@ from swingtrace.sources.adapter import Star
 
 
 class EventSource:
-    """Event rows, either a star joined on demand or an already flat view."""
+    """Event rows, either a star joined on demand or an already flat view.
+
+    ``name`` tells one source from another in the hashes of evidence; set it where several are in use.
+    """
+
+    name = ""
 
     def __init__(self, star: Star | None = None, flat: DataFrame | None = None):
         self._star, self._flat = star, flat

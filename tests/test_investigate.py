@@ -6,6 +6,7 @@ from swingtrace.operators import explain as X
 from swingtrace.operators import investigate as I
 from swingtrace.operators import localize as L
 from swingtrace.operators.grounding import check_grounding
+from swingtrace.operators.source import EventSource
 from swingtrace.plans.registry import panel
 from swingtrace.sources import adapter as A
 
@@ -92,3 +93,21 @@ def test_evidence_is_found_by_id_and_by_label(spark):
     rows = ledger.frame(spark)
     assert I.lookup_evidence(rows, id="e2").first()["value"] == 12.35
     assert I.lookup_evidence(rows, label="DELTA").first()["id"] == "e1"
+
+
+def test_evidence_hashes_tell_source_measure_and_days_apart(spark):
+    one, other = EventSource(), EventSource()
+    other.name = "second"
+    q, later = L.Question("2026-06-23", "2026-06-23", "2026-06-01"), L.Question("2026-06-23", "2026-06-23", "2026-06-12")
+
+    def hashed(source, metric, q, segment=None):
+        ledger = I.Ledger(q, I.origin_of(source, metric, q, segment, "remainder"))
+        ledger.add("gate.platform_pct", 1.0, "pct", 2)
+        return ledger.frame(spark).first()["query_hash"]
+
+    asked = [
+        (one, "fill_rate", q), (other, "fill_rate", q), (one, "ecpm", q), (one, "fill_rate", later),
+        (one, "fill_rate", q, ("country", "US")),
+    ]
+    assert len({hashed(*a) for a in asked}) == len(asked)
+    assert hashed(*asked[0]) == hashed(*asked[0])
