@@ -5,6 +5,7 @@ from swingtrace.functions import masks
 from swingtrace.operators import explain as X
 from swingtrace.operators import investigate as I
 from swingtrace.operators import localize as L
+from swingtrace.operators.enrich import enrich_star
 from swingtrace.operators.grounding import check_grounding
 from swingtrace.operators.source import EventSource
 from swingtrace.plans.registry import panel
@@ -111,3 +112,14 @@ def test_evidence_hashes_tell_source_measure_and_days_apart(spark):
     ]
     assert len({hashed(*a) for a in asked}) == len(asked)
     assert hashed(*asked[0]) == hashed(*asked[0])
+
+
+def test_the_panel_stores_its_week_once_and_repeats_it_when_read(spark, sf):
+    rows = panel(spark, sf, "break").rows()
+    stored = spark.read.parquet(*rows.inputFiles())
+    assert rows.count() == 10 * stored.count()
+    whole = A.plant(enrich_star(A.panel_events(spark, sf), *A.dimensions(spark, sf)), "break")
+    assert rows.columns != [] and set(rows.columns) == set(whole.columns)
+    names = sorted(whole.columns)
+    digest = F.sum(F.xxhash64(*names).cast("decimal(38,0)")).alias("h")
+    assert rows.agg(digest).first() == whole.agg(digest).first()
