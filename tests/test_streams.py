@@ -110,3 +110,29 @@ def test_no_task_of_the_selection_holds_a_group(spark):
     got = quantiles(d, ["k"], "v", {"p50": 0.5}, bins=64).first()
     values = sorted(r.v for r in d.select("v").collect())
     assert got.p50 == (values[99_999] + values[100_000]) / 2
+
+
+def test_a_batch_of_arriving_files_is_not_one_file(spark, tmp_path, monkeypatch):
+    from swingtrace.plans import streams
+    from swingtrace.sources import adapter as A
+
+    items = spark.range(0, 400, 1, 5).select(F.col("id").alias("l_orderkey"))
+    facts = items.select(F.col("l_orderkey").cast("string").alias("app_id"), F.lit("g").alias("geo_device_id"))
+    monkeypatch.setattr(A, "table", lambda spark, sf, name: items)
+    monkeypatch.setattr(A, "ad_events", lambda spark, sf: facts)
+    path, per_batch = streams._fact_files(spark, "", 2)
+    files = spark.read.parquet(path)
+    assert per_batch == 5 and len(files.inputFiles()) == 10 and files.count() == 400
+
+
+def test_rows_that_are_merged_are_stored_as_they_are(spark, tmp_path):
+    seen = []
+
+    def merge(rows):
+        seen.append(1)
+        return summed(["k"], ["n"])(rows)
+
+    table = BatchTable(spark, str(tmp_path / "t"), "k string, n bigint", merge)
+    table.write(spark.createDataFrame([(DAY, "a", 3), (DAY, "b", 4)], "day date, k string, n bigint"), 0, merged=True)
+    assert not seen
+    assert sorted(map(tuple, table.read().collect())) == [("a", 3), ("b", 4)]
