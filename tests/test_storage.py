@@ -246,3 +246,24 @@ def test_loads_keep_the_manifest(spark, sf, tmp_path):
     left = ingest.read_manifest(spark, held)
     assert left.filter(F.col("event_date") == day).count() == 0 and left.count() > 0
     assert left.select("event_date", "grain", "dim", "total").exceptAll(R.manifest(hourly, daily)).count() == 0
+
+
+def test_hourly_rollup_brings_hours_together_before_the_fan_out(spark):
+    """A cut is an entry of one literal array, not an expression of its own, and hours meet before they are fanned out."""
+    names = list(dict.fromkeys(d for c in ROLLUP_CUTS for d in c))
+    at = dt.datetime(2026, 6, 1, 5)
+    rows = [(at.date(), at, *(f"{n}{i % 2}" for n in names), 1, i % 2, 0, 1.5) for i in range(6)]
+    rows.append((at.date(), at, None, *("x" for _ in names[1:]), 1, 0, 0, 1.0))
+    kinds = "event_date date, event_hour timestamp, " + ", ".join(f"{n} string" for n in names)
+    events = spark.createDataFrame(rows, kinds + ", is_filled int, is_impression int, is_click int, revenue double")
+    hourly = R.rollup_hourly(events)
+    plan = hourly._jdf.queryExecution().toString()
+    assert "REBALANCE" in plan and plan.count("concat(") < len(ROLLUP_CUTS)
+    got = {(r["dim"], r["val"]): r["events"] for r in hourly.collect()}
+    want = {}
+    for cut in ROLLUP_CUTS:
+        for r in rows:
+            parts = [r[2 + names.index(d)] for d in cut]
+            key = ("|".join(cut), None if None in parts else "|".join(parts))
+            want[key] = want.get(key, 0) + 1
+    assert got == want
