@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from swingtrace.llm import contamination, mixing, nearcopies, private, quality
-from swingtrace.llm.common import shared_dir, table
+from swingtrace.llm.common import discard, stored, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read again."""
+    """All stages over documents; each stage's result is written to the shared folder, read again and deleted once the next is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = shared_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # a stage's input; the tables themselves are not stored() and stay
     return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swingtrace.llm.common import discard, stored
+from swingtrace.llm.common import bitmap, discard, narrowed, stored
 from swingtrace.llm.components import components
 from swingtrace.llm.hashing import batches, set_key, shingle_sets
 
@@ -44,13 +44,15 @@ def shared_buckets(rows: DataFrame, fits: Fits) -> DataFrame:
 
     In buckets of up to LISTED rows each row is held against the others by sizes and places; larger ones are kept as they are.
     """
-    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    shared = rows.join(several, "bucket")
+    several = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "several")
+    shared = narrowed(rows, [F.col("bucket")], bitmap(several.select("bucket"))).join(several, "bucket")
     listed = shared.filter(F.col("rows") <= LISTED).groupBy("bucket").agg(F.collect_list(F.struct("key", "n", "pos")).alias("all"))
     partner = lambda x: F.exists("all", lambda y: (x["key"] != y["key"]) & fits(x["n"], x["pos"], y["n"], y["pos"]))
     paired = listed.select("bucket", F.explode(F.filter("all", partner)).alias("x")).select("bucket", "x.key", "x.n", "x.pos")
     large = shared.filter(F.col("rows") > LISTED).select("bucket", "key", "n", "pos")
-    return stored(paired.unionByName(large), "mates")
+    mates = stored(paired.unionByName(large), "mates")
+    discard(several)
+    return mates
 
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -122,19 +124,28 @@ def each_shingle(sets: DataFrame) -> DataFrame:
 def rarest(rows: DataFrame, pct: int) -> DataFrame:
     """(bucket, key, n, pos): of rows (key, n, shingle) the rarest of each class, of which two linked classes share one.
 
-    The places are those under one order of all shingles, rare ones first; shingles of one class alone are left out.
+    The places are those under one order of all shingles, rare ones first. A class has n rows; its shingles of one class
+    alone come first, so they are counted and do not move.
     """
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
-    ordered = rows.join(often, "shingle").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    often = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
+    shared = narrowed(rows, [F.col("shingle")], bitmap(often.select("shingle"))).join(often, "shingle")
+    ordered = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    alone = (F.col("n") - F.size("s")).cast("int")  # these come first in the order
     length = (F.col("n") - F.ceil(F.col("n") * pct / 100) + 1).cast("int")
-    placed = ordered.select("key", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("pos", "s")).filter("s.often > 1")
-    return placed.select(F.xxhash64(F.lit("rare"), "s.shingle").alias("bucket"), "key", "n", F.col("pos").cast("long").alias("pos"))
+    rare = F.slice("s", F.lit(1), F.greatest(F.lit(0), length - alone))
+    placed = ordered.select("key", "n", alone.alias("alone"), F.posexplode(rare).alias("pos", "s"))
+    placed = placed.select(
+        F.xxhash64(F.lit("rare"), "s.shingle").alias("bucket"), "key", "n", (F.col("alone") + F.col("pos")).cast("long").alias("pos")
+    )
+    out = stored(placed, "rare")
+    discard(often)
+    return out
 
 
 def link(mates: DataFrame, verify: Verify, fits: Fits, rounds: int, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, label) of all classes in `mates` (bucket, key, n, pos): equal labels are linked, directly or through others.
 
-    Before all pairs across components are compared, `narrow` may give the classes left (key) narrower buckets.
+    Before all pairs across components are compared, `narrow` may give the classes left (key; a stored table) narrower buckets.
     `mates` is a stored table; it is deleted here.
     """
     nodes = stored(mates.groupBy("key").agg(F.count(F.lit(1)).alias("degree")).withColumn("label", F.col("key")), "nodes")
@@ -150,8 +161,10 @@ def link(mates: DataFrame, verify: Verify, fits: Fits, rounds: int, narrow: Call
         else:
             rows = placed  # every bucket holds several classes, and each class is a component of its own
         if turn == rounds and narrow:
-            placed = stored(narrow(rows.select("key").distinct()).join(nodes, "key"), "narrow")
-            discard(rows)
+            left = stored(rows.select("key").distinct(), "left")
+            narrower = narrow(left)
+            placed = stored(narrower.join(nodes, "key"), "narrow")
+            discard(rows, left, narrower)
             rows = stored(_open_rows(placed), "open")
             discard(placed)
         pairs = _pairs_across(rows, fits) if turn == rounds else _leader_pairs(rows, turn, fits)
@@ -175,7 +188,8 @@ def fits(pct: int) -> Fits:
 def class_sets(docs: DataFrame, needed: DataFrame, text: str, k: int) -> DataFrame:
     """(key, shingles) of classes `needed` (key, text_hash): each set read from one text with that hash.
 
-    Copies of a text are dropped before they move, and a set is made where its text arrives.
+    Copies of a text and most texts that are not needed are dropped before they move, and a set is made where its text arrives.
+    `needed` is a stored table.
     """
 
     def run(iterator):
@@ -189,7 +203,9 @@ def class_sets(docs: DataFrame, needed: DataFrame, text: str, k: int) -> DataFra
                 names=["key", "shingles"],
             )
 
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).groupBy("text_hash").agg(F.first("text").alias("text"))
+    hashed = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    hashed = narrowed(hashed, [F.col("text_hash")], bitmap(needed.select("text_hash")))
+    texts = hashed.groupBy("text_hash").agg(F.first("text").alias("text"))
     return texts.join(needed, "text_hash").select("key", "text").mapInArrow(run, "key binary, shingles binary")
 
 

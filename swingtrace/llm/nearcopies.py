@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swingtrace.llm.common import SPACES, discard, stored, table
+from swingtrace.llm.common import SPACES, bitmap, discard, narrowed, stored, table
 from swingtrace.llm.hashing import batches, set_key, shingle_sets
 from swingtrace.llm.linking import BATCH_BYTES, class_sets, each_shingle, fits, link, rarest, share, shared_buckets, with_components
 from swingtrace.llm.setsketch import REGISTERS, similarity, sketches
@@ -91,6 +91,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     side = lambda c: sets.select(
         F.col("key").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("registers").alias(f"r{c}"), F.col("shingles").alias(f"s{c}")
     )
+    keys = stored(pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct(), "paired")
+    sets = narrowed(sets, [F.col("key")], bitmap(keys))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", "na", "nb", "ra", "rb", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
@@ -99,9 +101,10 @@ def near_copies(
     docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 5, pct: int = 75, rounds: int = 3
 ) -> DataFrame:
     """Per row of docs: doc_id, text_hash, n_shingles, component_id, kept."""
-    found = stored(prints(docs, text=text, doc_id=doc_id, k=k), "prints")
+    wide = stored(prints(docs, text=text, doc_id=doc_id, k=k), "prints")
+    found = stored(wide.select("doc_id", "text_hash", "n_shingles", "key"), "found")
     sets = stored(
-        found.filter("n_shingles > 0")
+        wide.filter("n_shingles > 0")
         .groupBy("key")
         .agg(
             F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n_shingles"),
@@ -109,14 +112,19 @@ def near_copies(
         ),
         "sets",
     )
+    discard(wide)
     small = sets.filter("few IS NOT NULL").select("key", F.col("n_shingles").alias("n"), F.explode("few").alias("shingle"))
-    mates = shared_buckets(bands(sets).unionAll(rarest(small, pct)), fits(pct))
-    mated = stored(sets.join(mates.select("key").distinct(), "key").select("key", "text_hash", "n_shingles", "registers"), "mated")
-    discard(sets)
+    rare = rarest(small, pct)
+    mates = shared_buckets(bands(sets).unionAll(rare), fits(pct))
+    discard(rare)
+    keys = stored(mates.select("key").distinct(), "mated-keys")
+    mated = narrowed(sets, [F.col("key")], bitmap(keys)).join(keys, "key")
+    mated = stored(mated.select("key", "text_hash", "n_shingles", "registers"), "mated")
+    discard(sets, keys)
     full = stored(mated.drop("text_hash").join(class_sets(docs, mated.select("key", "text_hash"), text, k), "key"), "full")
     discard(mated)
     by_key = full.select("key", F.col("n_shingles").alias("n"), "shingles")
-    narrow = lambda left: rarest(each_shingle(by_key.join(left, "key")), pct)
+    narrow = lambda left: rarest(each_shingle(narrowed(by_key, [F.col("key")], bitmap(left)).join(left, "key")), pct)
     labels = link(mates, lambda pairs: _verified(pairs, full, pct), fits(pct), rounds, narrow)
     out = with_components(found, labels)
     discard(full)
@@ -133,13 +141,18 @@ def deduplicate(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     repeated = verdict.filter("kept").groupBy("doc_id", "text_hash").count().filter("count > 1")
     repeated = stored(pair(repeated, "doc_id", "text_hash"), "repeated")
 
+    discard(verdict)
+    named = stored(dropped.unionAll(repeated), "named")
+    row_of = [docs[doc_id], F.xxhash64(docs[text])]
+    asked = narrowed(docs, row_of, bitmap(named))
+
     def of(other: DataFrame):
         return docs[doc_id].eqNullSafe(other["doc_id_"]) & (F.xxhash64(docs[text]) == other["text_hash_"])
 
-    kept = docs.join(dropped, of(dropped), "left_anti")
+    kept = asked.join(dropped, of(dropped), "left_anti")
     once = kept.join(repeated, of(repeated), "left_anti")
     again = kept.join(repeated, of(repeated), "left_semi")
-    return once.unionAll(again.dropDuplicates([doc_id, text]))
+    return narrowed(docs, row_of, bitmap(named), out=True).unionAll(once).unionAll(again.dropDuplicates([doc_id, text]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

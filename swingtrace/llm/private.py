@@ -298,8 +298,13 @@ def _score(x: Column, w: list[float]) -> Column:
 
 
 def spans(docs: DataFrame, *, text: str = "text", rows: bool = True) -> DataFrame:
-    """Per row: row, base and spans (base and accepted proposals, by kind then start)."""
-    found = stored(candidates(docs, text=text, rows=rows), "private-candidates")
+    """Per row: row, base and spans (base and accepted proposals, by kind then start).
+
+    Without the texts the candidates are stored. With them they are found twice instead, so that no copy of the texts is stored.
+    """
+    found = candidates(docs, text=text, rows=rows)
+    if not rows:
+        found = stored(found, "private-candidates")
     fields = ("kind", *LABELERS, "size", "spaced")
     counted = found.select(F.explode("judged").alias("x")).groupBy(*(F.col(f"x.{f}").alias(f) for f in fields)).count()
     w = train(sorted(tuple(r) for r in counted.collect()))  # at most 6 * 3^5 * 8 rows
