@@ -1,7 +1,8 @@
 """Similarity join of shingle sets: prefix filters under several global token orders, intersected before verification.
 
 Under any order of all tokens, two sets with a similarity of pct share a token in their prefixes (the first n - ceil(pct * n)
-+ 1 tokens), and the sets' sizes and the places of the first shared token bound what follows it. A pair has to pass under every order:
++ 1 tokens), and the sets' sizes, the places of the first shared token and the number of shared ones bound what follows.
+A pair has to pass under every order:
 
 1. One pass over the texts gives each row its set's size and key and counts all tokens and words of all rows in a table of
    `counters` + `words` hashed cells. Its size is fixed, so it can be sent to every task; results do not depend on it, for any
@@ -10,8 +11,9 @@ Under any order of all tokens, two sets with a similarity of pct share a token i
    tokens come first, while phrases of common words and tokens of often copied texts come last. The three orders: by level; by powers of two of
    it, ties by a hash; by powers of four, by another hash. A second pass keeps each class's three prefixes.
 3. The first order's prefix tokens are the buckets of linking.link(), which compares classes with leaders and then all
-   pairs across components; a pair's other prefixes are tried before its full sets.
-4. The sets of the classes in shared buckets are read from their texts once and stored.
+   pairs across components.
+4. In each round the pairs to compare meet in their other prefixes first. Only the sets of pairs that pass there are read
+   from the texts, stored for that round and deleted; a set is some ten times its prefix, and most pairs end at the prefixes.
 
 Defined results: null or wordless texts have an empty set and stay alone under their own id; fewer words than a shingle make one
 shingle; rows with the same id and text are one class; rows with a null id take part, and a component is named by the least id that is
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swingtrace.llm.common import SPACES, discard, stored, table
+from swingtrace.llm.common import SPACES, bitmap, discard, narrowed, stored, table
 from swingtrace.llm.hashing import batches, mix, salt, set_key, shingle_places
 from swingtrace.llm.linking import BATCH_BYTES, class_sets, fits, link, share, shared_buckets, with_components
 
@@ -37,6 +39,7 @@ COUNTERS = 1 << 22
 WORDS = 1 << 20
 CELLS = 1 << 14  # counters a row when counts are added up
 STEPS = 256  # levels for each power of two
+LONG = 64  # tokens kept of the second order if its prefix has fewer: these tell short sets apart
 
 
 def prefix_length(n: int, pct: int) -> int:
@@ -126,7 +129,7 @@ def orders(tokens: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, scale: float, text: str, k: int, pct: int, counters: int) -> DataFrame:
-    """(key, n, p0, p1, p2) of every class with a shingle: its prefix under each order, 8 bytes a token in p0, 4 in the others."""
+    """(key, n, p0, p1, p2) of every class with a shingle: its prefix under each order, 8 bytes a token in p0, 4 in the others; LONG tokens or more in p1."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2 bytes a counter
 
     def run(iterator):
@@ -140,7 +143,8 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, scale: float, text: str, k: i
                 own_levels = token_levels(s, at, hashes, level, scale, k, counters)
                 p, row = prefix_length(len(s), pct), [set_key(s), len(s)]
                 for o, place in enumerate(orders(s, own_levels)):
-                    at = np.argpartition(place, p - 1)[:p] if p < len(s) else np.arange(len(s))
+                    most = max(p, LONG) if o == 1 else p
+                    at = np.argpartition(place, most - 1)[:most] if most < len(s) else np.arange(len(s))
                     own = s[at[np.argsort(place[at])]]
                     row.append((own if o == 0 else own.astype(np.uint32)).tobytes())
                 rows.append(row)
@@ -172,7 +176,14 @@ def _buckets(prefixes: DataFrame) -> DataFrame:
 
 
 def passes(a: np.ndarray, b: np.ndarray, na: int, nb: int, pct: int) -> bool:
-    """The filter of one order: where two prefixes first share a token, enough can follow."""
+    """The filter of one order: where two prefixes first share a token, enough can follow, and enough of their tokens are shared.
+
+    Longer prefixes than prefix_length() rule out more. The prefix that ends first under the order lies within the other's range: what it does not share there, its set does not share at all.
+    """
+    both = np.sort(np.concatenate([a, b]))
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))  # or more, where a prefix holds a value twice
+    if not shared or (100 + pct) * (shared + max(na - len(a), nb - len(b))) < pct * (na + nb):
+        return False
     _, i, j = np.intersect1d(a, b, return_indices=True)
     if not len(i):
         return False
@@ -180,8 +191,8 @@ def passes(a: np.ndarray, b: np.ndarray, na: int, nb: int, pct: int) -> bool:
     return (100 + pct) * min(na - int(i[first]), nb - int(j[first])) >= pct * (na + nb)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs that pass under the other orders and whose full sets reach the similarity."""
+def _likely(pairs: DataFrame, prefixes: DataFrame, pct: int) -> DataFrame:
+    """The pairs (a stored table) that pass under the other orders too; `prefixes` (key, n, p1, p2) is narrowed to their classes before it moves."""
 
     def run(iterator):
         for batch in iterator:
@@ -189,15 +200,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
             good = []
             for k in range(batch.num_rows):
                 na, nb = c["na"][k], c["nb"][k]
-                ok = all(
-                    passes(np.frombuffer(c[f"{p}a"][k], np.uint32), np.frombuffer(c[f"{p}b"][k], np.uint32), na, nb, pct) for p in ("p1", "p2")
+                good.append(
+                    all(passes(np.frombuffer(c[f"{p}a"][k], np.uint32), np.frombuffer(c[f"{p}b"][k], np.uint32), na, nb, pct) for p in ("p1", "p2"))
                 )
-                good.append(ok and share(np.frombuffer(c["shinglesa"][k], np.uint64), np.frombuffer(c["shinglesb"][k], np.uint64), pct))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda e: sets.select(F.col("key").alias(e), *(F.col(x).alias(f"{x}{e}") for x in ("n", "p1", "p2", "shingles")))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(run, "a binary, b binary")
+    def side(e: str) -> DataFrame:
+        own = narrowed(prefixes, [F.col("key")], bitmap(pairs.select(F.col(e).alias("key")).distinct()))
+        return own.select(F.col("key").alias(e), *(F.col(x).alias(f"{x}{e}") for x in ("n", "p1", "p2")))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
+
+    def run(iterator):
+        for batch in iterator:
+            both = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+            good = [share(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), pct) for x, y in both]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda e: sets.select(F.col("key").alias(e), F.col("shingles").alias(f"s{e}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
 
 
 def similar(
@@ -206,18 +231,32 @@ def similar(
     """Per row of docs: doc_id, text_hash, n_shingles, component_id. `counters` and `words` are powers of two, CELLS at least."""
     counted = stored(_counted(docs, text, doc_id, k, counters, words), "counted")
     levels, scale = _levels(counted, counters, words)
+    found = stored(counted.filter("block IS NULL").select("doc_id", "text_hash", "n_shingles", "key"), "found")
+    discard(counted)
     prefixes = stored(_prefixes(docs, levels, scale, text, k, pct, counters), "prefixes")
     mates = shared_buckets(_buckets(prefixes), fits(pct))
-    found = counted.filter("block IS NULL").select("doc_id", "text_hash", "n_shingles", "key")
     reps = found.groupBy("key").agg(F.min("text_hash").alias("text_hash"))
-    needed = stored(mates.select("key").distinct().join(reps, "key"), "needed")
-    full = class_sets(docs, needed, text, k).join(prefixes.select("key", "n", "p1", "p2"), "key")
-    sets = stored(full, "sets")
-    discard(prefixes, needed)
-    labels = link(mates, lambda pairs: _verified(pairs, sets, pct), fits(pct), rounds)
-    out = with_components(found, labels)
-    discard(sets)
-    return out
+    mated = stored(mates.select("key").distinct().join(reps, "key"), "mated")
+    others = stored(narrowed(prefixes.select("key", "n", "p1", "p2"), [F.col("key")], bitmap(mated.select("key"))), "others")
+    discard(prefixes)
+    held: list[DataFrame] = []  # what the round's links are read from
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        discard(*held)
+        likely = stored(_likely(pairs, others, pct), "likely")
+        held[:] = [likely]
+        if likely.isEmpty():
+            return likely
+        keys = likely.select(F.col("a").alias("key")).unionAll(likely.select("b")).distinct()
+        needed = stored(keys.join(mated, "key"), "needed")
+        sets = stored(class_sets(docs, needed, text, k), "sets")
+        discard(needed)
+        held.append(sets)
+        return _verified(likely, sets, pct)
+
+    labels = link(mates, verify, fits(pct), rounds)
+    discard(*held, mated, others)
+    return with_components(found, labels)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

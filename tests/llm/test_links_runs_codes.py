@@ -92,6 +92,86 @@ def test_prefixes_hold_a_shared_token_under_every_order():
             assert not similar or prefixjoin.passes(p, q, len(a), len(b), 90)
 
 
+def test_longer_prefixes_rule_out_no_similar_pair():
+    """Sets of one group with 0 to 12 other tokens each: every pair that is similar passes, whatever the prefixes' length."""
+    g = np.random.default_rng(6)
+    left = 0
+    for _ in range(600):
+        n, d = int(g.integers(2, 120)), g.integers(0, 12, 2)
+        base = g.integers(0, 2**32, n).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([base[g.permutation(n)[: max(1, n - x)]], g.integers(0, 2**32, int(x)).astype(np.uint64)])) for x in d)
+        similar = 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
+        for most in (1, 16, prefixjoin.LONG, 200):
+            p, q = (s[: max(prefixjoin.prefix_length(len(s), 90), most)].astype(np.uint32) for s in (a, b))
+            passed = prefixjoin.passes(p, q, len(a), len(b), 90)
+            assert passed or not similar
+            left += most == 200 and passed != similar
+    assert left == 0  # whole sets decide
+
+
+def test_pairs_with_too_few_shared_prefix_tokens_are_ruled_out():
+    """The first token is shared, and then no more of the prefixes: no set of 100 can have 95 in common with the other."""
+    a, b = np.arange(1, 12, dtype=np.uint32), np.arange(101, 112, dtype=np.uint32)
+    assert not prefixjoin.passes(a, b, 100, 100, 90)
+    b[0] = a[0]
+    assert not prefixjoin.passes(a, b, 100, 100, 90)
+    b[:5] = a[:5]
+    assert not prefixjoin.passes(a, b, 100, 100, 90)
+    b[5] = a[5]  # 6 and the 89 that follow
+    assert prefixjoin.passes(a, b, 100, 100, 90)
+
+
+def test_full_sets_are_read_only_of_pairs_that_pass_every_order(spark, monkeypatch):
+    """Pairs of texts that share a few words in a row meet in a bucket, but no set of theirs is read; near copies are."""
+    rows, g = [], np.random.default_rng(4)
+    for i in range(200):
+        rare = [f"c{i // 2}x{j}" for j in range(5)]
+        rows.append((i, " ".join(rare + [f"w{j}" for j in g.integers(0, 12, 100)])))
+    rows += [(1000 + i, t + " more") for i, t in rows[:20]]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    read, buckets, was, met = [], [], prefixjoin.class_sets, prefixjoin.shared_buckets
+
+    def class_sets(docs, needed, *options):
+        read.append({bytes(r.key) for r in needed.select("key").collect()})
+        return was(docs, needed, *options)
+
+    def shared_buckets(*options):
+        mates = met(*options)
+        buckets.append(mates.select("key").distinct().count())
+        return mates
+
+    monkeypatch.setattr(prefixjoin, "class_sets", class_sets)
+    monkeypatch.setattr(prefixjoin, "shared_buckets", shared_buckets)
+    got = sorted(map(tuple, prefixjoin.similar(d).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == sorted(components_by_hand(rows, 90, 3))
+    assert buckets[0] > 150 and len(set().union(*read)) <= 60
+
+
+def test_stored_tables_of_a_round_do_not_stay(spark, monkeypatch):
+    """After the rounds no set and no prefix is left on the disk, and counts not after the orders are made of them."""
+    live, was, gone = {}, prefixjoin.stored, prefixjoin.discard
+
+    def stored(df, name):
+        out = was(df, name)
+        live[out.stored_at] = name
+        if name == "prefixes":
+            assert "counted" not in live.values()
+        return out
+
+    def discard(*tables):
+        for df in tables:
+            live.pop(getattr(df, "stored_at", None), None)
+        gone(*tables)
+
+    monkeypatch.setattr(prefixjoin, "stored", stored)
+    monkeypatch.setattr(prefixjoin, "discard", discard)
+    rows = variants(90, 60, 3)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = prefixjoin.similar(d).select("doc_id", "n_shingles", "component_id")
+    assert set(live.values()) == {"found"}
+    assert sorted(map(tuple, got.collect())) == sorted(components_by_hand(rows, 90, 3))
+
+
 # periodic runs -------------------------------------------------------------------------------------
 
 
