@@ -267,3 +267,93 @@ def test_hourly_rollup_brings_hours_together_before_the_fan_out(spark):
             key = ("|".join(cut), None if None in parts else "|".join(parts))
             want[key] = want.get(key, 0) + 1
     assert got == want
+
+
+def test_a_write_leaves_no_shuffle_files(spark, tmp_path):
+    """Stored tables outlive the shuffles that made them."""
+    import time
+
+    from swingtrace.sources.store import shuffles_freed
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    local = spark.conf.get("spark.local.dir", None) or os.environ.get("SPARK_LOCAL_DIRS") or "/tmp"
+    rows = spark.range(200_000).selectExpr("id % 100003 AS k", "uuid() AS v")
+    blocks = lambda: {os.path.join(r, f) for r, _, files in os.walk(local) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+    before = blocks()
+    with shuffles_freed(spark):
+        rows.repartition(3, "k").write.parquet(str(tmp_path / "t"))
+    for _ in range(50):  # files are deleted by another thread
+        if not blocks() - before:
+            break
+        time.sleep(0.2)
+    assert not blocks() - before and spark.read.parquet(str(tmp_path / "t")).count() == 200_000
+    assert spark.conf.get(key) == "false"
+
+
+def _event_rows(spark):
+    """Events of three days and of none, three rows an hour, with empty and missing keys."""
+    rows = []
+    for day in (1, 2, 9, None):
+        for i in range(12):
+            at = None if day is None else dt.datetime(2026, 6, day, i // 3)
+            advertiser = ("", "v1", "v2", None)[i % 4]
+            rows.append((at, f"a{i % 5}", "g1" if i % 3 else "", advertiser, "f1", int(advertiser == "v1"), 0, 0, i / 4))
+    apps = spark.createDataFrame([(f"a{i}", f"c{i % 2}", "t1") for i in range(4)], schema.APPS)
+    advertisers = spark.createDataFrame([("v1", "x", "k"), ("v2", "y", "k"), ("", "bad", "bad")], schema.ADVERTISERS)
+    geo = spark.createDataFrame([("g1", "r", "n", "d", "o"), ("", "bad", "bad", "bad", "bad")], schema.GEO_DEVICE)
+    return A.Star(spark.createDataFrame(rows, schema.AD_EVENTS), apps, advertisers, geo)
+
+
+def test_stored_events_are_read_day_by_day_and_give_the_same_cells(spark, tmp_path, monkeypatch):
+    events = EventSource(_event_rows(spark)).rows()
+    stored = ingest.store_events(events, str(tmp_path / "e"))
+    plain = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    assert stored.columns == events.columns and plain(stored) == plain(events)
+    for most in (40, 2):  # fewer groups than days
+        monkeypatch.setattr(ingest, "READ_GROUPS", most)
+        apart = ingest.day_by_day(stored)
+        assert plain(apart) == plain(events)
+        direct = R.rollup_hourly(apart, gather=False)
+        moved = direct._jdf.queryExecution().toString()
+        assert "REBALANCE" not in moved and plain(direct) == plain(R.rollup_hourly(events))
+    empty = ingest.store_events(events.filter("false"), str(tmp_path / "none"))
+    assert ingest.day_by_day(empty).count() == 0
+
+
+def test_rollups_of_stored_events_do_not_move_events_or_cells_again(spark, tmp_path):
+    events = EventSource(_event_rows(spark)).rows().filter("event_date IS NOT NULL")
+    near = ingest.day_by_day(ingest.store_events(events, str(tmp_path / "e")))
+    paths = [str(tmp_path / n) for n in ("h", "d", "h2", "d2")]
+    hourly, daily = ingest.write_rollups(near, *paths[:2], gather=False)
+    other = ingest.write_rollups(events, *paths[2:])
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(hourly) == plain(other[0]) and plain(daily) == plain(other[1])
+    assert daily.filter("dim = 'ad_format'").agg(F.sum("events")).first()[0] == 36
+
+
+def test_a_lookup_moves_each_key_once_and_spreads_rows_without_one(spark):
+    """The rows that meet a dimension carry no second copy of their key, and the calendar is added after they have moved."""
+    from swingtrace.operators.enrich import enrich_star
+
+    star = _event_rows(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = enrich_star(star.fact, star.apps, star.advertisers, star.geo_device)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 6 and sum("_spread" in line.split("hashpartitioning")[1] for line in moved) == 6
+    below = plan[plan.index("Exchange hashpartitioning") :]
+    assert "day_of_week" not in below and "_key#" not in below.replace("_dim_key#", "")
+    got = {(r["advertiser_id"], r["advertiser_vertical"]) for r in rows.collect()}
+    assert got == {("", ""), ("v1", "x"), ("v2", "y"), (None, "")}
+    assert {r["region"] for r in rows.filter("geo_device_id = ''").collect()} == {""}
+
+
+def test_a_source_of_stored_rollups_answers_from_the_stored_events(spark, sf):
+    from swingtrace.plans.registry import stored_rollups
+
+    source = stored_rollups(spark, sf)
+    plan = source.rows()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and source.reason == ""
