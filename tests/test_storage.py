@@ -351,9 +351,13 @@ def test_a_lookup_moves_each_key_once_and_spreads_rows_without_one(spark):
     assert {r["region"] for r in rows.filter("geo_device_id = ''").collect()} == {""}
 
 
-def test_a_source_of_stored_rollups_answers_from_the_stored_events(spark, sf):
-    from swingtrace.plans.registry import stored_rollups
-
-    source = stored_rollups(spark, sf)
-    plan = source.rows()._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and source.reason == ""
+def test_stored_rollups_make_the_fact_once_and_are_judged_by_it(spark, sf, monkeypatch):
+    from swingtrace.plans import registry
+
+    source = registry.stored_rollups(spark, sf)
+    plan = source.rows(())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and source.reason == "" and source.unrolled().served_from([]) == "raw"
+    once = A.dimensions
+    monkeypatch.setattr(A, "dimensions", lambda s, d: tuple(t.unionAll(t) for t in once(s, d)))
+    twice = registry.stored_rollups(spark, sf)
+    assert twice.served_from(["region"]) == "raw" and twice.reason == "hourly rollup does not match the events"
